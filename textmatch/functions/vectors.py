@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 SCORE_DIGITS = 6  # float32 accuracy; equal vectors tie exactly after rounding
@@ -41,17 +41,15 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-@arrow_udf("array<float>")
 def _normalise(vectors: pa.Array) -> pa.Array:
     if len(vectors) == 0:
         return pa.array([], pa.list_(pa.float32()))
-    # An element that is null or NaN must not turn into a plausible number.
     return as_lists(unit_rows(as_matrix(vectors)).astype(np.float32))
 
 
 def normalise(vector: Column) -> Column:
     """Unit-length float vector; a zero vector stays zero."""
-    return _normalise(vector)
+    return arrow_udf(_normalise, T.ArrayType(T.FloatType()))(vector)
 
 
 def to_float32(vector: Column) -> Column:

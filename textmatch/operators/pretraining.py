@@ -247,28 +247,32 @@ def whole_words(tokens: Column) -> Column:
     return F.aggregate(candidates, empty, step)
 
 
+def shuffled_words(instances: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Add the whole words of each instance in a seeded random order (words)."""
+    hashed = F.transform(
+        whole_words(F.col("tokens")),
+        lambda g: F.struct(
+            digest(options.seed, F.lit("mask"), "round", "doc_id", "start", F.element_at(g, 1)).alias("d"),
+            g.alias("g"),
+        ),
+    )
+    return instances.withColumn("words", F.array_sort(hashed))
+
+
 def picked_positions(instances: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Choose whole words in shuffled order until the quota is used (positions).
 
     A word that would pass the quota is skipped and the next one tried.
     """
-    shuffled = F.array_sort(
-        F.transform(
-            whole_words(F.col("tokens")),
-            lambda g: F.struct(
-                digest(options.seed, F.lit("mask"), "round", "doc_id", "start", F.element_at(g, 1)).alias("d"),
-                g.alias("g"),
-            ),
-        )
-    )
     empty = F.array().cast("array<int>")
 
     def step(done: Column, word: Column) -> Column:
         fits = F.size(done) + F.size(word["g"]) <= F.col("_quota")
         return F.when(fits, F.concat(done, word["g"])).otherwise(done)
 
-    quota = instances.withColumn("_quota", masked_count(F.size("tokens"), options))
-    return quota.withColumn("positions", F.array_sort(F.aggregate(shuffled, empty, step))).drop("_quota")
+    quota = shuffled_words(instances, options).withColumn("_quota", masked_count(F.size("tokens"), options))
+    positions = F.array_sort(F.aggregate("words", empty, step))
+    return quota.withColumn("positions", positions).drop("_quota", "words")
 
 
 def masked(instances: DataFrame, vocab: DataFrame, options: Options = DEFAULTS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import normalise, to_float32
 from ..operators import matching as M, neighbours as N, records as R
+from ..operators.skew import lookup_join
 from ..options import DEFAULTS, Options
 from ..session import fresh_path
 from ..sources.readers import Index, file_id, read_embeddings, read_index
@@ -39,15 +40,27 @@ def similarity(
 ) -> DataFrame:
     """Percent of each document's neighbour slots that hit each file (doc_id, file_id, hits, percent).
 
-    ``queries`` has doc_id, query_id and a unit-length embedding. The threshold is applied
-    before the best k are ranked; that gives the same rows and far fewer to rank.
+    ``queries`` has doc_id, query_id and a unit-length embedding. Equal vectors have the
+    same neighbours, so each distinct vector is searched once and its hits per file are
+    counted for every copy; a vector that fills a third of the input costs one search.
+    The threshold is applied before the best k are ranked: same rows, far fewer to rank.
     """
     k = options.neighbours if k is None else k
+    # 128 hash bits name a vector.
+    name = F.concat_ws("-", F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1)))
+    named = queries.withColumn("vector", name)
+    distinct = named.groupBy("vector").agg(F.first("embedding").alias("embedding"))
+    copies = named.groupBy("doc_id", "vector").agg(F.count("*").alias("_copies"))
     hits = N.above_threshold(
-        queries, index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS,
+        distinct, index.vectors, index.centroids, ["vector"], M.CORPUS_IDS,
         options.threshold, k, index.statistics, nprobe,
     )
-    return M.match_percent(M.hits_per_file(hits), M.vectors_per_document(queries), k)
+    per_vector = hits.groupBy("vector", "file_id").agg(F.count("*").alias("_hits"))
+    # A vector found in most documents is spread over several tasks.
+    documents = copies.groupBy("vector").agg(F.count("*").alias("n"))
+    joined = lookup_join(copies, per_vector, "vector", documents, F.col("doc_id"), "inner")
+    per_file = M.hits_per_file(joined, F.col("_copies") * F.col("_hits"))
+    return M.match_percent(per_file, M.vectors_per_document(queries), k)
 
 
 def similarity_to_corpus(

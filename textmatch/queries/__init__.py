@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load():
     """Import all query modules; returns (queries, SQL)."""
-    from . import common, texts, tokens, vectors  # noqa: F401
+    from . import common, texts, tokens, training, vectors  # noqa: F401
 
     return common.QUERIES, common.SQL

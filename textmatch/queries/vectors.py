@@ -463,3 +463,63 @@ best AS ({_SQL_BEST})
 SELECT d.doc_id, coalesce(max_percent, CASE WHEN n_query IS NULL THEN CAST('NaN' AS DOUBLE) ELSE 0 END) AS max_similarity_percentage,
 CASE WHEN n_query IS NULL THEN 'Error in checking: file format not supported' WHEN coalesce(max_percent, 0) >= 10 THEN 'True' ELSE 'False' END AS plagiarism_status,
 file_id FROM documents d LEFT JOIN n_query USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+def document_index(spark, sf, pieces, vocab):
+    """The documents table as a corpus: every document is a file."""
+    vectors = checking.text_vectors(pieces, vocab, hashed_token_model(16), CHECK)
+    corpus = written(vectors.withColumnRenamed("doc_id", "file_id"), "corpus")
+    return indexing.build_index(corpus, fresh_path(spark, "index"), CHECK)
+
+
+@query("c5_check_documents", _sql_check(sql_sentences()))
+def c5(spark, sf):
+    from ..operators.sentences import sentences
+
+    docs, vocab = table(spark, sf, "documents"), demo_vocabulary(spark, sf)
+    index = document_index(spark, sf, sentences(docs, CHECK), vocab)
+    return checking.check_documents(docs, index, vocab, hashed_token_model(16), CHECK)
+
+
+def _c6_sql() -> str:
+    from .texts import _BODY, PARAGRAPHS
+
+    return _sql_check(f"{_BODY}, {PARAGRAPHS.format(source='cut')}, sentences AS (SELECT * FROM paragraphs)")
+
+
+@query("c6_check_paragraphs", _c6_sql())
+def c6(spark, sf):
+    from ..operators.sentences import paragraphs
+    from .texts import BORDERS, CHAPTERS, SEPARATORS
+
+    options = replace(CHECK, chapters=CHAPTERS, max_chapter_pieces=40)
+    cuts = {"borders": BORDERS, "separators": SEPARATORS, "chapter_word": "is"}
+    docs, vocab = table(spark, sf, "documents"), demo_vocabulary(spark, sf)
+    index = document_index(spark, sf, paragraphs(docs, options, **cuts), vocab)
+    return checking.check_paragraphs(docs, index, vocab, hashed_token_model(16), options, **cuts)
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+@query("st1_check_stream", f"WITH {_PERCENT} SELECT * FROM percents")
+def st1(spark, sf):
+    incoming, out = fresh_path(spark, "incoming"), fresh_path(spark, "scores")
+    query_vectors(spark, sf).coalesce(1).write.parquet(incoming)  # a document must not span micro-batches
+    stream = spark.readStream.schema("doc_id bigint, query_id bigint, embedding array<float>").parquet(incoming)
+    run = score_stream(stream, demo_index(spark, sf), out, fresh_path(spark, "stream"), LOW)
+    run.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query("st2_extend_index", f"WITH {SQL_CELLS} SELECT vec_id, file_id, cell, s AS cell_score FROM cells")
+def st2(spark, sf):
+    incoming, path = fresh_path(spark, "incoming"), fresh_path(spark, "index")
+    vectors = corpus_vectors(spark, sf)
+    vectors.write.parquet(incoming)
+    centroids = label_centroids(spark, sf)
+    writers.write_index(vectors.filter(F.lit(False)), centroids, path)
+    stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 3).parquet(incoming)
+    run = extend_index(stream, centroids, path, fresh_path(spark, "stream"), "first")
+    run.awaitTermination()
+    return readers.read_index(spark, path).vectors.select("vec_id", "file_id", "cell", "cell_score")
