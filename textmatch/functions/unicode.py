@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from .bind import let
+
 # The code-point ranges that count as ideographs.
 IDEOGRAPHS = (
     (0x4E00, 0x9FFF),
@@ -80,11 +81,6 @@ def _hangul_letters(char: Column) -> Column:
     )
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a value several times and compute it once; SQL expressions have no ``let``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip_accents(text: Column) -> Column:
     """Canonical decomposition without the non-spacing marks.
 
@@ -110,7 +106,7 @@ def strip_accents(text: Column) -> Column:
         is_rare = F.rlike(t, F.lit(rare))
         return F.when(is_ascii, t).when(is_rare, whole_chain(t)).otherwise(without_marks(t))
 
-    return _with(text, stripped)
+    return let(text, stripped)
 
 
 def space_punctuation(text: Column) -> Column:

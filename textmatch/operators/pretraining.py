@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.bind import let
 from ..functions.draws import digest, integer, py_uniform, uniform
 from ..functions.vectors import pad
 from ..options import DEFAULTS, Options
@@ -88,13 +89,16 @@ def plan_chunks(lengths: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     )
     seed = options.seed
 
+    names = ["round", "doc_id", "rank", "start", "a_end", "end", "target", "is_random_next"]
+
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows = chunk_plan(r.lens, r.target, seed, r.round, r.doc_id)
-                out = pd.DataFrame(rows, columns=["start", "a_end", "end", "is_random_next"])
-                out = out.assign(round=r.round, doc_id=r.doc_id, rank=r.rank, target=r.target)
-                yield out[["round", "doc_id", "rank", "start", "a_end", "end", "target", "is_random_next"]]
+            rows = [
+                (r.round, r.doc_id, r.rank, start, a_end, end, r.target, is_random)
+                for r in batch.itertuples(index=False)
+                for start, a_end, end, is_random in chunk_plan(r.lens, r.target, seed, r.round, r.doc_id)
+            ]
+            yield pd.DataFrame(rows, columns=names)
 
     return wanted.select("round", "doc_id", "rank", "lens", "target").mapInPandas(plan, PLAN_SCHEMA)
 
@@ -134,12 +138,18 @@ def pages(segs: DataFrame) -> DataFrame:
 
 def _first_of_random(segs: Column, target: Column) -> Column:
     """Segments up to the one that reaches the target."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("tokens"))
+    start = F.struct(
+        F.lit(0).alias("n"), target.alias("target"), F.array().cast("array<string>").alias("tokens")
+    )
 
     def step(state: Column, s: Column) -> Column:
-        longer = F.struct((state["n"] + F.size(s["tokens"])).alias("n"), F.concat(state["tokens"], s["tokens"]).alias("tokens"))
+        longer = F.struct(
+            (state["n"] + F.size(s["tokens"])).alias("n"),
+            state["target"].alias("target"),
+            F.concat(state["tokens"], s["tokens"]).alias("tokens"),
+        )
         # At least one segment is taken, whatever the target.
-        return F.when((state["n"] > 0) & (state["n"] >= target), state).otherwise(longer)
+        return F.when((state["n"] > 0) & (state["n"] >= state["target"]), state).otherwise(longer)
 
     return F.aggregate(segs, start, step)["tokens"]
 
@@ -264,15 +274,18 @@ def picked_positions(instances: DataFrame, options: Options = DEFAULTS) -> DataF
 
     A word that would pass the quota is skipped and the next one tried.
     """
-    empty = F.array().cast("array<int>")
+    # The quota is part of the state, so that it is computed once and not for every word.
+    start = F.struct(
+        masked_count(F.size("tokens"), options).alias("left"), F.array().cast("array<int>").alias("positions")
+    )
 
-    def step(done: Column, word: Column) -> Column:
-        fits = F.size(done) + F.size(word["g"]) <= F.col("_quota")
-        return F.when(fits, F.concat(done, word["g"])).otherwise(done)
+    def step(state: Column, word: Column) -> Column:
+        size = F.size(word["g"])
+        more = F.struct((state["left"] - size).alias("left"), F.concat(state["positions"], word["g"]).alias("positions"))
+        return F.when(size <= state["left"], more).otherwise(state)
 
-    quota = shuffled_words(instances, options).withColumn("_quota", masked_count(F.size("tokens"), options))
-    positions = F.array_sort(F.aggregate("words", empty, step))
-    return quota.withColumn("positions", positions).drop("_quota", "words")
+    picked = F.aggregate("words", start, step)["positions"]
+    return shuffled_words(instances, options).withColumn("positions", F.array_sort(picked)).drop("words")
 
 
 def masked(instances: DataFrame, vocab: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -300,10 +313,9 @@ def masked(instances: DataFrame, vocab: DataFrame, options: Options = DEFAULTS)
         F.array_sort(F.collect_list(F.struct("p", token.alias("t"), "label"))).alias("_changes")
     )
     new = F.map_from_entries(F.transform("_changes", lambda c: F.struct(c["p"], c["t"])))
-    out = F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(F.col("_new"), i), t))
+    out = let(new, lambda m: F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(m, i), t)))
     return (
         instances.join(changes, keys)
-        .withColumn("_new", new)
         .withColumns(
             {
                 "tokens": out,
@@ -311,7 +323,7 @@ def masked(instances: DataFrame, vocab: DataFrame, options: Options = DEFAULTS)
                 "masked_lm_labels": F.transform("_changes", lambda c: c["label"]),
             }
         )
-        .drop("_changes", "_new", "positions")
+        .drop("_changes", "positions")
     )
 
 

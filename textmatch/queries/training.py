@@ -321,9 +321,9 @@ def word_vocabulary(spark, tokens):
 
 _DRAW = {n: u(f"'{n}'", "k.round", "k.doc_id", "k.start", "k.p") for n in ("mask80", "keep50", "token")}
 SQL_MASKED = f"""{SQL_PICKED}, {SQL_WORD_VOCAB},
+draws AS (SELECT k.*, CAST(floor({_DRAW['token']} * (SELECT n FROM vocab_size)) AS INTEGER) AS vid FROM picked k),
 changes AS (SELECT k.round, k.doc_id, k.start, k.p, f.token AS label, CASE WHEN {_DRAW['mask80']} < 0.8 THEN '[MASK]' WHEN {_DRAW['keep50']} < 0.5 THEN f.token ELSE v.token END AS new
-    FROM picked k JOIN flat f ON f.round = k.round AND f.doc_id = k.doc_id AND f.start = k.start AND f.i = k.p, vocab_size
-    JOIN vocab v ON v.id = CAST(floor({_DRAW['token']} * n) AS INTEGER)),
+    FROM draws k JOIN flat f ON f.round = k.round AND f.doc_id = k.doc_id AND f.start = k.start AND f.i = k.p JOIN vocab v ON v.id = k.vid),
 masked AS (SELECT f.round, f.doc_id, f.start, list(coalesce(c.new, f.token) ORDER BY f.i) AS tokens,
     list(c.p ORDER BY f.i) FILTER (c.p IS NOT NULL) AS positions, list(c.label ORDER BY f.i) FILTER (c.p IS NOT NULL) AS labels
     FROM flat f LEFT JOIN changes c ON f.round = c.round AND f.doc_id = c.doc_id AND f.start = c.start AND f.i = c.p GROUP BY ALL)"""
@@ -448,21 +448,21 @@ def metric_query(name: str, sql: str, source, metric):
 
     @query(name, sql)
     def run(spark, sf):
-        return V.with_predictions(source(spark, sf)).agg(F.round(metric, 6).alias("out"))
+        return V.with_predictions(source(spark, sf)).agg(F.round(metric(), 6).alias("out"))
 
 
 metric_query("a8_weighted_accuracy", f"WITH {SQL_MASKED_PRED} SELECT round(sum(w * {_MASK_HIT}) / sum(w), 6) AS out FROM mq",
-             masked_predictions, V.accuracy("prediction", "label", "weight"))
+             masked_predictions, lambda: V.accuracy("prediction", "label", "weight"))
 metric_query("a9_weighted_loss", f"WITH {SQL_MASKED_PRED} SELECT round(sum(w * nll) / sum(w), 6) AS out FROM mq",
-             masked_predictions, V.mean("nll", "weight"))
+             masked_predictions, lambda: V.mean("nll", "weight"))
 metric_query("a10_accuracy", f"WITH {SQL_PAIR_PRED} SELECT round(avg({_MASK_HIT}), 6) AS out FROM pq",
-             pair_predictions, V.accuracy("prediction", "label"))
+             pair_predictions, lambda: V.accuracy("prediction", "label"))
 metric_query("a10_mean_loss", f"WITH {SQL_PAIR_PRED} SELECT round(avg(nll), 6) AS out FROM pq",
-             pair_predictions, V.mean("nll"))
+             pair_predictions, lambda: V.mean("nll"))
 metric_query("a11_masked_batch_loss", f"WITH {SQL_MASKED_PRED} SELECT round(sum(w * nll) / (sum(w) + CAST(0.00001 AS DOUBLE)), 6) AS out FROM mq",
-             masked_predictions, V.masked_batch_loss("nll", "weight"))
+             masked_predictions, lambda: V.masked_batch_loss("nll", "weight"))
 metric_query("a12_pair_batch_loss", f"WITH {SQL_PAIR_PRED} SELECT round(avg(nll), 6) AS out FROM pq",
-             pair_predictions, V.pair_batch_loss("nll"))
+             pair_predictions, lambda: V.pair_batch_loss("nll"))
 
 SQL_METRICS = f"""{SQL_MASKED_PRED}, {SQL_PAIR_PRED},
 metrics AS (SELECT * FROM (SELECT sum(w * {_MASK_HIT}) / sum(w) AS masked_lm_accuracy, sum(w * nll) / sum(w) AS masked_lm_loss FROM mq),
