@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.positions import document_numbers
 from ..operators.records import RECORD_SCHEMA
+from .writers import VECTOR_SCHEMA
 
 
 def file_id(path: str = "file"):
@@ -76,7 +77,7 @@ class Index:
 def read_index(spark: SparkSession, path: str) -> Index:
     """Open a stored index. Only the cells a query probes are read."""
     return Index(
-        spark.read.parquet(f"{path}/vectors").drop("batch"),
+        spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors").drop("batch"),
         spark.read.parquet(f"{path}/centroids"),
         spark.read.parquet(f"{path}/statistics"),
     )

@@ -11,6 +11,10 @@ from ..operators.sentences import clean_texts, not_done, sentences
 from ..options import DEFAULTS, Options
 
 FILES_PER_CELL = 16
+# The last two are folders.
+VECTOR_SCHEMA = (
+    "file_id bigint, vec_id bigint, token string, embedding array<float>, cell_score double, batch string, cell int"
+)
 
 
 def write_embeddings(records: DataFrame, path: str) -> None:
@@ -54,7 +58,7 @@ def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: st
 
 def refresh_statistics(spark: SparkSession, path: str) -> None:
     """Count the cells of all stored batches."""
-    stored = spark.read.parquet(f"{path}/vectors")
+    stored = spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors")
     cell_statistics(stored).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
