@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.unicode import basic_tokens
 from ..options import DEFAULTS, SPECIAL_TOKENS
+from ..session import written
 from .skew import lookup_join
 
 UNKNOWN = "[UNK]"
@@ -87,9 +88,11 @@ def attach_pieces(words: DataFrame, vocab: DataFrame, spread: Column) -> DataFra
     """Add the pieces and ids of every word occurrence.
 
     Only distinct words meet the vocabulary; their pieces are joined back to the
-    occurrences, with frequent words spread over several tasks by ``spread``.
+    occurrences, with frequent words spread over several tasks by ``spread``. The word
+    counts feed several branches and are written first, so that texts are split twice
+    in all, once to count and once to join.
     """
-    counts = word_counts(words)
+    counts = written(word_counts(words), "word-counts")
     return lookup_join(words, word_pieces(counts, vocab), "word", counts, spread)
 
 

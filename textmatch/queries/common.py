@@ -112,12 +112,14 @@ def demo_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = words_of(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     words = words.filter(F.col("word").isNotNull()).select("word").distinct()
-    letters = words.select(F.explode(F.split("word", "")).alias("p"))
-    pieces = letters.union(words.filter(F.length("word") <= MAX_SHORT)).distinct()
-    specials = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIAL_TOKENS)], "kind int, place int, token string")
-    both = specials.union(pieces.select(F.lit(1), F.lit(0), "p")).union(
-        pieces.select(F.lit(2), F.lit(0), F.concat(F.lit("##"), F.col("p")))
+    short = F.when(F.length("word") <= MAX_SHORT, F.array("word")).otherwise(F.array().cast("array<string>"))
+    pieces = words.select(F.explode(F.concat(F.split("word", ""), short)).alias("p")).distinct()
+    forms = F.array(
+        F.struct(F.lit(1).alias("kind"), F.lit(0).alias("place"), F.col("p").alias("token")),
+        F.struct(F.lit(2).alias("kind"), F.lit(0).alias("place"), F.concat(F.lit("##"), F.col("p")).alias("token")),
     )
+    specials = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIAL_TOKENS)], "kind int, place int, token string")
+    both = specials.union(pieces.select(F.inline(forms)))
     # Read by every task of a tokenisation, so it is computed once.
     return written(number_tokens(both, ["kind", "place", "token"]), "vocabulary")
 
