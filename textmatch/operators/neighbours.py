@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.vectors import SCORE_DIGITS, as_lists, as_matrix, unit_rows
+from ..functions.vectors import SCORE_DIGITS, as_matrix, unit_rows
 from ..options import DEFAULTS
 from ..session import written
 

@@ -11,7 +11,7 @@ from ..session import fresh_path
 from ..sources import readers, writers
 from .common import (
     query, sql_clean, sql_clean_characters, sql_letters, sql_occurrences, sql_sentences, sql_space_ideographs,
-    sql_spaces, sql_words, table,
+    sql_spaces, table,
 )
 
 LINES = """

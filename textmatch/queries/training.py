@@ -7,9 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions import metrics as Z
-from ..functions.draws import digest
 from ..operators import evaluation as V, pretraining as P, positions as G
-from ..operators.tokens import tokens_to_ids
 from ..operators.vocabulary import number_tokens
 from ..options import DEFAULTS, SPECIAL_TOKENS
 from ..plans import training_data

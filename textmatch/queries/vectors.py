@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as X
 from ..operators import matching as M, neighbours as N, positions as G, records as R
-from ..options import DEFAULTS, SPECIAL_TOKENS, STOP_WORDS
+from ..options import DEFAULTS, STOP_WORDS
 from ..plans import checking, indexing
 from ..plans.model import hashed_token_model
 from ..session import fresh_path, written
