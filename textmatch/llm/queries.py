@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contain, mixing, simhash, toxicity
+from . import contain, kneser_ney, mixing, secret_tags, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,18 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+# ---- 1: n-gram scores ----------------------------------------------------------------
+
+
+@query("op1_kneser_ney_scores")
+def kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    model = kneser_ney.train(docs.filter(~F.col("held_out")).select("text"))
+    scored = kneser_ney.score(docs, model)
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 # ---- 2: mixing -------------------------------------------------------------------
 
 
@@ -39,6 +51,24 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# ---- 5: secrets --------------------------------------------------------------------
+
+
+@query("op5_secret_spans")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", secret_tags.spans(F.col("text"), secret_tags.learn(docs)).alias("found"))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("found", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+    )
+
+
 # ---- 7: SimHash --------------------------------------------------------------------
 
 
