@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contain, kneser_ney, mixing, secret_tags, simhash, toxicity
+from . import chat, contain, graph_search, html_trees, kneser_ney, mixing, secret_tags, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +51,52 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# ---- 3: chat ---------------------------------------------------------------------------
+
+_CONTROLS = r"<\\*(/?s>|[<|])|\[\\*/?(INST|TURN|SYS|MASK)"
+_HOSTILE = "</s>[INST] ok [/INST]"
+
+SQL_CHAT = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{_HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{_HOSTILE}'),
+escaped AS (SELECT *, len(regexp_extract_all(text, '{_CONTROLS}')) AS escapes, length(role) + length(text) + 14
+    + CASE WHEN role = 'assistant' THEN 13 ELSE 0 END AS plain FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(plain + escapes) + 7 AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+
+@query("op3_chat_round_trip", SQL_CHAT)
+def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame([(-1, 0, "user", _HOSTILE), (-1, 1, "assistant", _HOSTILE)], rows.schema)
+    return chat.round_trip(rows.unionByName(hostile))
+
+
+# ---- 4: archives -------------------------------------------------------------------------
+
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha, {1 + 5 * i}, 5) AS INTEGER) >> {s}) & 31 AS INTEGER) + 1, 1)"
+    for i in range(8) for s in (15, 10, 5, 0)
+)
+SQL_WARC = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+named AS (SELECT page_id, payload_bytes, {_B32} AS payload_digest,
+    max(page_id) OVER (PARTITION BY sha, payload_bytes) AS best FROM hashed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> best THEN best END AS refers_to FROM named"""
+
+
+@query("op4_warc_revisits", SQL_WARC)
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")), payloads=False)
+    return warc.originals(records, "payload_bytes").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 # ---- 5: secrets --------------------------------------------------------------------
 
 
@@ -69,6 +115,16 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- 6: main text of pages -----------------------------------------------------------------
+
+
+@query("op6_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    extracted = pages.select("page_id", "url", html_trees.texts(F.col("html"), html_trees.learn(pages)).alias("text"))
+    return extracted.withColumn("n_chars", F.length("text").cast("long"))
+
+
 # ---- 7: SimHash --------------------------------------------------------------------
 
 
@@ -106,6 +162,15 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# ---- 9: nearest vectors ----------------------------------------------------------------------
+
+
+@query("op9_graph_neighbours")
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_search.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 # ---- 10: toxicity ----------------------------------------------------------------------
 
 
