@@ -29,7 +29,7 @@ from ..functions.draws import digest
 from .words import Piece, buffers, hash_slices, hash_word, lower, mix
 
 SAMPLE = 20_000
-VOCABULARY = 4096
+VOCABULARY = 4096  # at most; a quarter of the labelled rows where those are fewer
 MIN_TEXTS = 3
 FOLDS = 5
 THRESHOLD = 0.5
@@ -80,13 +80,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, size: int, ridge: float = 1.0) -> np.ndarray:
+def fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, size: int, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression with an L2 penalty, by accelerated gradient steps."""
     n, k = len(y), extra.shape[1]
     w, look, t = np.zeros(1 + size + k), np.zeros(1 + size + k), 1.0
-    per_row = np.bincount(rows, minlength=n) + 1 + (extra**2).sum(1)
-    step = 1.0 / (0.25 * float((per_row**1.0).max(initial=1.0)) * n ** 0.5 + ridge) if n else 1.0
-    step = min(step, 1.0)
+    x = np.full(1 + size + k, 1.0)  # largest curvature by a few power steps
+    for _ in range(12):
+        x /= np.linalg.norm(x)
+        z = x[0] + np.bincount(rows, x[1 + cols], minlength=n) + extra @ x[1 + size :]
+        x = np.concatenate(([z.sum()], np.bincount(cols, z[rows], minlength=size), extra.T @ z))
+    step = 1.0 / (0.3 * float(np.linalg.norm(x)) + ridge)
     before = np.inf
     for _ in range(400):
         z = look[0] + np.bincount(rows, look[1 + cols], minlength=n) + extra @ look[1 + size :]
@@ -123,7 +126,7 @@ def train(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
     rate = toxic.mean()
     score = np.abs(hits - rate * texts) / np.sqrt(texts * rate * (1 - rate))
     score[texts < MIN_TEXTS] = 0
-    chosen = np.sort(np.argsort(-score, kind="stable")[:VOCABULARY])
+    chosen = np.sort(np.argsort(-score, kind="stable")[: min(VOCABULARY, max(64, n // 4))])
     chosen = chosen[score[chosen] > 0]
     place = np.full(len(words), -1)
     place[chosen] = np.arange(len(chosen))
