@@ -21,9 +21,17 @@ def letters_only(text: Column, newline: str = "") -> Column:
     return F.replace(kept, F.lit(" ."), F.lit("."))
 
 
+_BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
+
+
 def single_blanks(text: Column) -> Column:
     """Collapse runs of any white space to one blank and trim."""
-    return F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f\x{85}\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(text, _BLANK, " "))
+
+
+def trimmed(text: Column) -> Column:
+    """Without the white space, Unicode's included, at both ends."""
+    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
 
 
 def occurrences(text: Column, char: str) -> Column:
@@ -56,8 +64,13 @@ def raw_sentences(text: Column) -> Column:
 
 
 def sentence_array(text: Column, min_space: int = DEFAULTS.min_space, newline: str = "") -> Column:
-    """Clean sentences of one text, in order, short ones left out."""
-    cleaned = F.transform(raw_sentences(text), lambda s: _clean(s, newline))
+    """Clean sentences of one text, in order, short ones left out.
+
+    The text is cleaned whole, in generated code: cleaning leaves the dots, where
+    sentences end, and what is left to do per sentence is to trim it.
+    """
+    whole = F.regexp_replace(letters_only(F.lower(text), newline), " +", " ")
+    cleaned = F.transform(F.split(whole, "[.]", -1), lambda s: F.trim(s))
     return F.filter(cleaned, lambda s: is_important(s, min_space))
 
 
@@ -69,7 +82,7 @@ def after_front_matter(text: Column, borders: Sequence[str] = OPENING_BORDERS) -
 
 def is_regular_report(text: Column, max_pieces: int = DEFAULTS.max_chapter_pieces, word: str = "BAB") -> Column:
     """True when the chapter word splits the text into few pieces."""
-    return F.size(F.split(text, word, -1)) <= max_pieces
+    return F.size(F.split(text, "\\Q" + word + "\\E", -1)) <= max_pieces
 
 
 def chapter_patterns(chapters: tuple[str, str] = DEFAULTS.chapters, word: str = "BAB") -> list[str]:

@@ -7,42 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..options import DEFAULTS
+from .skew import lookup_join, salts
 
+# Fixed value: the text of a verdict that could not be reached.
 UNREADABLE = "Error in checking: file format not supported"
-OFFSET_BIN = 256  # positions per bin of the offset join
-OFFSET_SALTS = 8
 
 
-def attribute_by_id(hits: DataFrame, vector_files: DataFrame, vec_id: str = "vec_id") -> DataFrame:
-    """Add the file of each hit by joining on the vector id.
+def attribute_by_id(hits: DataFrame, vector_files: DataFrame, keys: Sequence[str] = ("file_id", "vec_id")) -> DataFrame:
+    """Add what ``vector_files`` says of each hit vector, one row per document and vector (n).
 
-    Hits are counted per vector first, as one vector may be hit by most queries.
+    ``keys`` name a vector: its number alone repeats from file to file. A vector that most
+    documents hit is spread over several tasks.
     """
-    counted = hits.groupBy("doc_id", vec_id).agg(F.count("*").alias("n"))
-    return counted.join(vector_files.select(vec_id, "file_id"), vec_id)
+    counted = hits.groupBy("doc_id", *keys).agg(F.count("*").alias("n")).withColumn("_vector", F.struct(*keys))
+    others = [c for c in vector_files.columns if c not in keys]
+    files = vector_files.select(F.struct(*keys).alias("_vector"), *others)
+    per_vector = counted.groupBy("_vector").agg(F.count("*").alias("n"))
+    return lookup_join(counted, files, "_vector", per_vector, F.col("doc_id"), "inner").drop("_vector")
 
 
 def attribute_by_offsets(hits: DataFrame, offsets: DataFrame, position: str = "position") -> DataFrame:
     """Add the file whose range [start_off, end_off) holds the position.
 
-    A range join as an equi-join: ranges are cut at bin borders, so a bin meets only the
-    files that overlap it. Bins are salted, as many hits may fall on the same file.
+    A range join as an equi-join: ranges are cut at the borders of bins as wide as the
+    average file, so a bin meets few files and a file few bins. A bin with more than its
+    share of hits is salted by its count.
     """
-    first = F.floor(F.col("start_off") / OFFSET_BIN)
-    last = F.floor((F.col("end_off") - 1) / OFFSET_BIN)
-    cut = (
-        offsets.filter(F.col("end_off") > F.col("start_off"))
-        .withColumn("_bin", F.explode(F.sequence(first, last)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(OFFSET_SALTS - 1))))
-    )
-    salted = hits.withColumns(
-        {
-            "_bin": F.floor(F.col(position) / OFFSET_BIN),
-            "_salt": F.pmod(F.xxhash64(*hits.columns), F.lit(OFFSET_SALTS)).cast("int"),
-        }
-    )
+    width = F.ceil(F.greatest(offsets.agg(F.max("end_off") / F.count("*")).scalar(), F.lit(1.0)))
+    sized = offsets.filter(F.col("end_off") > F.col("start_off")).withColumn("_width", width)
+    first, last = F.floor(F.col("start_off") / F.col("_width")), F.floor((F.col("end_off") - 1) / F.col("_width"))
+    cut = sized.withColumn("_bin", F.explode(F.sequence(first, last))).drop("_width")
+    binned = hits.withColumn("_bin", F.floor(F.col(position) / width))
+    heavy = F.broadcast(salts(binned.groupBy("_bin").agg(F.count("*").alias("n")), "_bin"))
+    parts = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = binned.join(heavy, "_bin", "left").withColumn("_salt", F.pmod(F.xxhash64(*hits.columns), parts).cast("int"))
+    cut = cut.join(heavy, "_bin", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     inside = (F.col(position) >= F.col("start_off")) & (F.col(position) < F.col("end_off"))
-    return salted.join(cut, ["_bin", "_salt"]).filter(inside).drop("_bin", "_salt", "start_off", "end_off")
+    joined = salted.drop("_salts").join(cut.drop("_salts"), ["_bin", "_salt"])
+    return joined.filter(inside).drop("_bin", "_salt", "start_off", "end_off")
 
 
 def hits_per_file(hits: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def number_of_files(vectors: DataFrame) -> DataFrame:
 def adaptive_k(files: DataFrame, percent: float = DEFAULTS.verdict_percent, words_per_file: int = DEFAULTS.words_per_file) -> DataFrame:
     """Neighbours to ask for, growing with the corpus (k)."""
     k = F.lit(percent / 100) * words_per_file * F.col("n_files")
-    return files.select(k.cast("int").alias("k"))
+    return files.select(k.cast("bigint").alias("k"))
 
 
 def match_percent(per_file: DataFrame, n_query: DataFrame, k: int | Column) -> DataFrame:
@@ -80,10 +82,11 @@ def match_percent(per_file: DataFrame, n_query: DataFrame, k: int | Column) -> D
 def exceed_percent(hits: DataFrame, n_query: DataFrame, n_vectors: DataFrame) -> DataFrame:
     """Share of all pairs of a document and a file that pass the threshold.
 
-    The number of all pairs is a product of two counts; only hits exist as rows.
+    The number of all pairs is a product of two counts. ``hits`` has ``n``, the pairs
+    counted where they were scored.
     """
     pairs = F.col("n_query") * F.col("n_vectors")
-    counted = hits_per_file(hits).join(n_query, "doc_id").join(n_vectors, "file_id")
+    counted = hits_per_file(hits, F.col("n")).join(n_query, "doc_id").join(n_vectors, "file_id")
     return counted.select("doc_id", "file_id", (F.col("hits") / pairs * 100).alias("percent"))
 
 

@@ -22,18 +22,27 @@ from ..session import written
 
 BLOCK_ROWS = 4096  # vectors per side of one block product
 MAX_CENTROID_BYTES = 512 * 1024 * 1024
+TILE_SCORES = 1 << 22  # scores to centres that a task holds at once
 _SLACK = 1e-4  # radians; covers float32 rounding of unit vectors
 
 CENTROID_SCHEMA = "cell int, centroid array<double>"
 
 
 def train_centroids(
-    vectors: DataFrame, clusters: int = DEFAULTS.clusters, seed: int = DEFAULTS.seed, embedding: str = "embedding"
+    vectors: DataFrame, clusters: int | None = DEFAULTS.clusters, seed: int = DEFAULTS.seed, embedding: str = "embedding"
 ) -> DataFrame:
-    """Unit-length centres of a cosine k-means (cell, centroid)."""
+    """Unit-length centres of a cosine k-means (cell, centroid).
+
+    Without a number of ``clusters`` it is the square root of the number of vectors: the
+    work inside cells then grows as its power 1.5. A corpus without directions has none.
+    """
     # A zero vector has no direction, so it cannot train a cosine clustering.
     some = vectors.filter(F.exists(embedding, lambda x: x != 0))
     points = some.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
+    n = points.count() if clusters is None else points.limit(1).count()
+    if n == 0:
+        return vectors.sparkSession.createDataFrame([], CENTROID_SCHEMA)
+    clusters = clusters or max(1, round(n**0.5))
     model = KMeans(k=clusters, distanceMeasure="cosine", seed=seed).fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(unit_rows(np.array(model.clusterCenters())))]
     return vectors.sparkSession.createDataFrame(rows, CENTROID_SCHEMA)
@@ -54,11 +63,19 @@ def _cells_udf(cells: np.ndarray, centres: np.ndarray, nprobe: int):
     @arrow_udf("array<struct<cell:int,score:double>>")
     def closest(vectors: pa.Array) -> pa.Array:
         n = min(nprobe, len(cells))
-        if len(vectors) == 0:
-            return pa.array([], pa.list_(pa.struct([("cell", pa.int32()), ("score", pa.float64())])))
-        scores = np.round(as_matrix(vectors) @ centres.T, SCORE_DIGITS)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        best = np.take_along_axis(scores, order, axis=1)
+        if len(vectors) == 0 or n == 0:
+            return pa.array([[]] * len(vectors), pa.list_(pa.struct([("cell", pa.int32()), ("score", pa.float64())])))
+        rows, order, best = as_matrix(vectors), [], []
+        tile = max(1, TILE_SCORES // max(1, len(cells)))
+        for at in range(0, len(rows), tile):  # bounded score matrices, whatever the cells
+            scores = np.round(rows[at : at + tile] @ centres.T, SCORE_DIGITS)
+            if n == 1:
+                top = scores.argmax(axis=1)[:, None]
+            else:
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+            order.append(top)
+            best.append(np.take_along_axis(scores, top, axis=1))
+        order, best = np.concatenate(order), np.concatenate(best)
         values = pa.StructArray.from_arrays([pa.array(cells[order].ravel()), pa.array(best.ravel())], ["cell", "score"])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * n), values)
 
@@ -75,10 +92,17 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, embedding: str = "emb
 
 
 def cell_statistics(assigned: DataFrame) -> DataFrame:
-    """One row per cell: vectors in it and the lowest score to its centre."""
-    return assigned.groupBy("cell").agg(
-        F.count("*").alias("n_vectors"), F.min("cell_score").alias("min_score")
-    )
+    """One row per cell: vectors in it and the lowest score of one to its centre.
+
+    Zero vectors have no direction and score 0 with everything, so they do not widen a cell.
+    """
+    directed = F.when(F.exists("embedding", lambda x: x != 0), F.col("cell_score"))
+    return assigned.groupBy("cell").agg(F.count("*").alias("n_vectors"), F.min(directed).alias("min_score"))
+
+
+def merged_statistics(parts: DataFrame) -> DataFrame:
+    """Statistics of an index from those of its batches."""
+    return parts.groupBy("cell").agg(F.sum("n_vectors").alias("n_vectors"), F.min("min_score").alias("min_score"))
 
 
 def probe_closest(queries: DataFrame, centroids: DataFrame, nprobe: int, embedding: str = "embedding") -> DataFrame:
@@ -101,7 +125,9 @@ def probe_reachable(
     the widest angle within the cell, which bounds the score. No hit is lost.
     """
     cells, centres = centroid_matrix(centroids)
-    lowest = {r["cell"]: r["min_score"] for r in statistics.select("cell", "min_score").collect()}  # one row per cell
+    # One row per cell. Stored scores are rounded, so the true one may be half a step lower.
+    rows = statistics.filter(F.col("min_score").isNotNull() | (F.col("n_vectors") > 0)).collect()
+    lowest = {r["cell"]: 1.0 if r["min_score"] is None else r["min_score"] - 10.0**-SCORE_DIGITS for r in rows}
     held = np.array([c in lowest for c in cells], bool)
     cells, centres = cells[held], centres[held]
     widest = np.arccos(np.clip([lowest[c] for c in cells], -1, 1))
@@ -110,13 +136,19 @@ def probe_reachable(
     def reachable(vectors: pa.Array, floors: pa.Array) -> pa.Array:
         if len(vectors) == 0 or len(cells) == 0:
             return pa.array([[]] * len(vectors), pa.list_(pa.int32()))
-        least = floors.to_numpy(zero_copy_only=False)[:, None]
-        angle = np.arccos(np.clip(as_matrix(vectors) @ centres.T, -1, 1))
-        bound = np.cos(np.maximum(angle - widest - _SLACK, 0.0))
-        # The bound holds for unit vectors; a zero vector scores 0 everywhere.
-        keep = (bound > least) | (least <= 0)
-        rows, cols = np.nonzero(keep)
-        ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+        matrix, least = as_matrix(vectors), floors.to_numpy(zero_copy_only=False)[:, None]
+        counts, cols = [], []
+        tile = max(1, TILE_SCORES // len(cells))
+        for at in range(0, len(matrix), tile):
+            part = slice(at, at + tile)
+            angle = np.arccos(np.clip(matrix[part] @ centres.T, -1, 1))
+            bound = np.cos(np.maximum(angle - widest - _SLACK, 0.0))
+            # The bound holds for unit vectors; a zero vector scores 0 everywhere.
+            keep = (bound > least[part]) | (least[part] <= 0)
+            counts.append(keep.sum(axis=1))
+            cols.append(np.nonzero(keep)[1])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        cols = np.concatenate(cols)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(cells[cols]))
 
     return queries.withColumn("cell", F.explode(reachable(F.col(embedding), floor.cast("double"))))
@@ -147,6 +179,27 @@ def _block_product(query_ids: Sequence[str], corpus_ids: Sequence[str], k: int |
     return product
 
 
+def _block_counts(query_ids: Sequence[str], group: str):
+    """Pairs of one block above the floor, counted per query and group of the corpus."""
+
+    def counts(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        names = [*query_ids, group, "n"]
+        types = [queries.schema.field(f"q_{c}").type for c in query_ids] + [corpus.schema.field(f"c_{group}").type, pa.int64()]
+        if queries.num_rows == 0 or corpus.num_rows == 0:
+            return pa.table([pa.array([], t) for t in types], names)
+        corpus = corpus.sort_by(f"c_{group}")
+        keys = corpus[f"c_{group}"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        scores = np.round(as_matrix(queries["q_embedding"]) @ as_matrix(corpus["c_embedding"]).T, SCORE_DIGITS)
+        above = (scores > queries["q_floor"].to_numpy()[:, None]).astype(np.int64)
+        n = np.add.reduceat(above, first, axis=1)
+        rows, cols = np.nonzero(n)
+        columns = [queries[f"q_{c}"].take(rows) for c in query_ids]
+        return pa.table([*columns, pa.array(keys[first[cols]], types[-2]), pa.array(n[rows, cols])], names)
+
+    return counts
+
+
 def block_pairs(
     queries: DataFrame,
     corpus: DataFrame,
@@ -154,12 +207,14 @@ def block_pairs(
     corpus_ids: Sequence[str],
     k: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    count_by: str | None = None,
 ) -> DataFrame:
     """Scores of queries and corpus vectors sharing a cell, by block products.
 
     ``queries`` has ``cell`` and ``floor``: only scores above it count. A cell is cut to a
     grid: its corpus rows to hashed rows of the grid, its queries to hashed columns, and
     each side is copied along the other axis. All blocks stay near ``block_rows``.
+    With ``count_by``, a corpus column, a block gives counts per query and its values.
     """
     def cuts(side: DataFrame, name: str) -> DataFrame:
         counted = side.groupBy("cell").agg(F.count("*").alias("_n"))
@@ -170,23 +225,28 @@ def block_pairs(
     q = queries.select("cell", "floor", "embedding", *query_ids).join(grid, "cell")
     q = q.withColumn("col", F.pmod(F.xxhash64(*query_ids), F.col("_cols")).cast("int"))
     q = q.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
-    c = corpus.select("cell", "embedding", *corpus_ids).join(grid, "cell")
-    c = c.withColumn("row", F.pmod(F.xxhash64(*corpus_ids), F.col("_rows")).cast("int"))
+    deal = F.xxhash64(*corpus_ids) if count_by is None else F.xxhash64("vec_id", *corpus_ids)
+    own = corpus_ids if count_by is None else [*corpus_ids, "vec_id"]
+    c = corpus.select("cell", "embedding", *own).join(grid, "cell")
+    c = c.withColumn("row", F.pmod(deal, F.col("_rows")).cast("int"))
     c = c.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)))
     at = ["cell", "row", "col"]
     left = q.select(*at, *[F.col(i).alias(f"q_{i}") for i in [*query_ids, "embedding", "floor"]])
     right = c.select(*at, *[F.col(i).alias(f"c_{i}") for i in [*corpus_ids, "embedding"]])
     fields = [f"`{i}` {queries.schema[i].dataType.simpleString()}" for i in query_ids]
     fields += [f"`{i}` {corpus.schema[i].dataType.simpleString()}" for i in corpus_ids]
-    schema = ", ".join([*fields, "score double"])
-    product = _block_product(list(query_ids), list(corpus_ids), k)
+    if count_by is None:
+        schema, product = ", ".join([*fields, "score double"]), _block_product(list(query_ids), list(corpus_ids), k)
+    else:
+        schema, product = ", ".join([*fields, "n bigint"]), _block_counts(list(query_ids), count_by)
     return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(product, schema)
 
 
-def best_k(pairs: DataFrame, query_ids: Sequence[str], corpus_ids: Sequence[str], k: int) -> DataFrame:
-    """The k highest scores of each query, ties by corpus id, with their rank."""
+def best_k(pairs: DataFrame, query_ids: Sequence[str], corpus_ids: Sequence[str], k: int | None) -> DataFrame:
+    """The k highest scores of each query (None: all), ties by corpus id, with their rank."""
     order = W.partitionBy(*query_ids).orderBy(F.desc("score"), *corpus_ids)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def above_threshold(
@@ -216,6 +276,23 @@ def above_threshold(
     return pairs if k is None else best_k(pairs, query_ids, corpus_ids, k)
 
 
+def count_above_threshold(
+    queries: DataFrame,
+    corpus: DataFrame,
+    centroids: DataFrame,
+    query_ids: Sequence[str],
+    count_by: str,
+    threshold: float,
+    statistics: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Pairs above ``threshold`` per query and corpus value (n); no pair becomes a row."""
+    floored = queries.withColumn("floor", F.lit(float(threshold)))
+    stats = cell_statistics(corpus) if statistics is None else statistics
+    probed = probe_reachable(floored, centroids, stats, F.col("floor"))
+    return block_pairs(probed, corpus, query_ids, [count_by], None, block_rows, count_by)
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,

@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.bind import let
 from ..functions.draws import digest, integer, py_uniform, uniform
+from ..functions.text import trimmed
 from ..functions.vectors import pad
 from ..options import DEFAULTS, Options
 from .encoding import framed, kept_lengths, type_ids
-from .positions import position_by_digest
-from .tokens import checked_vocabulary
+from .positions import position_by_digest, position_by_id
 
 PAGE = 128  # segments per page
 PLAN_SCHEMA = (
@@ -30,7 +30,7 @@ PLAN_SCHEMA = (
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines of a document as (doc_id, seg_no, line), blank ones left out."""
-    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")))
+    lines = F.transform(F.split(text, "\n"), lambda s: trimmed(s))
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(F.filter(lines, lambda s: s != "")).alias("seg_no", "line"))
 
 
@@ -291,31 +291,36 @@ def picked_positions(instances: DataFrame, options: Options = DEFAULTS) -> DataF
 def masked(instances: DataFrame, vocab: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Replace the picked tokens: 80 % by ``[MASK]``, 10 % kept, 10 % random.
 
-    Random tokens are drawn as ids and looked up by a join on the vocabulary.
+    Random tokens are drawn by their place in the vocabulary, as ids may have gaps, and
+    looked up by a join. An instance without a picked position stays as it is.
     """
     keys = ["round", "doc_id", "start"]
     n = vocab.agg(F.count("*")).scalar()
-    ranked = vocab.select(F.col("id").alias("_drawn"), F.col("token").alias("_random"))
+    ranked = position_by_id(vocab.select("id", "token"), "id", "_drawn").select("_drawn", F.col("token").alias("_random"))
     flat = instances.select(*keys, F.explode("positions").alias("p"), F.element_at("tokens", F.col("p") + 1).alias("label"))
 
     def draw(purpose: str) -> Column:
         return uniform(options.seed, F.lit(purpose), *keys, "p")
 
     choice = F.when(draw("mask80") < 0.8, "mask").when(draw("keep50") < 0.5, "keep").otherwise("random")
+    # Rows that need no token get keys below 0, which match nothing and spread evenly.
+    nowhere = -1 - F.pmod(F.xxhash64(*keys, "p"), F.lit(1 << 40))
     flat = flat.withColumn("_choice", choice).withColumn(
-        "_drawn", F.when(F.col("_choice") == "random", integer(draw("token"), n)).cast("int")
+        "_drawn", F.when(F.col("_choice") == "random", integer(draw("token"), n)).otherwise(nowhere)
     )
-    looked = flat.join(checked_vocabulary(ranked), "_drawn", "left")
+    looked = flat.join(ranked, "_drawn", "left")
     token = F.when(F.col("_choice") == "mask", "[MASK]").when(F.col("_choice") == "keep", F.col("label")).otherwise(
-        F.col("_random")
+        F.coalesce("_random", F.raise_error(F.lit("no vocabulary token at a drawn place")))
     )
     changes = looked.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("p", token.alias("t"), "label"))).alias("_changes")
     )
     new = F.map_from_entries(F.transform("_changes", lambda c: F.struct(c["p"], c["t"])))
     out = let(new, lambda m: F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(m, i), t)))
+    none = F.array().cast("array<struct<p:int,t:string,label:string>>")
     return (
-        instances.join(changes, keys)
+        instances.join(changes, keys, "left")
+        .withColumn("_changes", F.coalesce("_changes", none))
         .withColumns(
             {
                 "tokens": out,

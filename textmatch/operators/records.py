@@ -13,7 +13,7 @@ RECORD_SCHEMA = (
     "linex_index bigint, features array<struct<token:string,"
     "layers:array<struct<index:bigint,values:array<double>>>>>"
 )
-_POSITION_BITS = 24  # token and layer number inside a record
+_RECORD_BITS, _TOKEN_BITS, _LAYER_BITS = 31, 20, 12  # parts of a vector id
 
 
 def only_key(mapping: Column, key: str) -> Column:
@@ -25,13 +25,18 @@ def unnest(records: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
     """Records to one row per token and layer, without shuffle.
 
     ``vec_id`` comes from the record number and the place in the record, so it is
-    unique within a file and needs no global numbering.
+    unique within a file and needs no global numbering. A number that does not fit its
+    part of the id is an error.
     """
     tokens = records.select(*keys, "linex_index", F.posexplode("features").alias("tok", "feature"))
     layers = tokens.select(
         *keys, "linex_index", "tok", "feature.token", F.posexplode("feature.layers").alias("lay", "layer")
     )
-    place = F.shiftleft(F.col("linex_index"), _POSITION_BITS) + F.shiftleft(F.col("tok").cast("bigint"), 4) + F.col("lay")
+    place = F.shiftleft(F.col("linex_index"), _TOKEN_BITS + _LAYER_BITS) + F.shiftleft(
+        F.col("tok").cast("bigint"), _LAYER_BITS
+    ) + F.col("lay")
+    fits = (F.col("linex_index").between(0, 2**_RECORD_BITS - 1)) & (F.col("tok") < 2**_TOKEN_BITS) & (F.col("lay") < 2**_LAYER_BITS)
+    place = F.when(fits, place).otherwise(F.raise_error(F.lit("record, token or layer number too large for a vector id")))
     return layers.select(
         *keys, place.alias("vec_id"), "token", F.col("layer.index").alias("layer"), F.col("layer.values").alias("values")
     )

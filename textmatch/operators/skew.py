@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 32
-HEAVY_SHARE = 1e-3  # at most 1 / HEAVY_SHARE keys can be heavy
 
+def salts(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Keys with more than their task's share of all rows, and in how many parts to cut them.
 
-def heavy_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Keys holding more than ``HEAVY_SHARE`` of all rows: at most 1,000 rows."""
-    return counts.filter(F.col(n) > F.lit(HEAVY_SHARE) * counts.agg(F.sum(n)).scalar()).select(key)
+    The line is one share of the shuffle partitions, so at most that many keys pass it
+    and each part of a key is about one share.
+    """
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = counts.agg(F.sum(n)).scalar() / F.lit(partitions)
+    return counts.filter(F.col(n) > share).select(key, F.ceil(F.col(n) / share).cast("int").alias("_salts"))
 
 
 def lookup_join(
@@ -18,21 +21,20 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a table unique in ``key``, spreading the heavy keys.
 
-    Rows of a heavy key get one of ``SALTS`` salts from ``spread`` and the lookup row
+    Rows of a heavy key get one of its salts from ``spread`` and the lookup row
     is copied to each salt. ``counts`` has the rows per key of ``left``. Adaptive
     execution still turns this into a broadcast join when ``lookup`` measures small.
     """
-    heavy = heavy_keys(counts, key).withColumn("_heavy", F.lit(True))
-    is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
+    heavy = F.broadcast(salts(counts, key))  # a row per shuffle partition at most
+    parts = F.coalesce(F.col("_salts"), F.lit(1))
     salted = (
-        left.join(F.broadcast(heavy), key, "left")
-        .withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
-        .drop("_heavy")
+        left.join(heavy, key, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
+        .drop("_salts")
     )
-    copies = F.when(is_heavy, F.lit(SALTS - 1)).otherwise(0)
     copied = (
-        lookup.join(F.broadcast(heavy), key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies)))
-        .drop("_heavy")
+        lookup.join(heavy, key, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_salts")
     )
     return salted.join(copied, [key, "_salt"], how).drop("_salt")

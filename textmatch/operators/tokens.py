@@ -12,13 +12,6 @@ from ..session import written
 from .skew import lookup_join
 
 UNKNOWN = "[UNK]"
-MAX_VOCABULARY = 2_000_000  # rows; a larger table is no vocabulary
-
-
-def checked_vocabulary(vocab: DataFrame) -> DataFrame:
-    """Broadcast hint for a vocabulary whose size was looked at first."""
-    rows = vocab.limit(MAX_VOCABULARY + 1).count()
-    return F.broadcast(vocab) if rows <= MAX_VOCABULARY else vocab
 
 
 def words_of(
@@ -44,7 +37,8 @@ def vocabulary_matches(words: DataFrame, vocab: DataFrame, max_chars: int = DEFA
     )
     prefix = F.when(F.col("start") > 1, "##").otherwise("")
     pieces = spans.withColumn("token", F.concat(prefix, F.substring("word", F.col("start"), F.col("len"))))
-    found = pieces.join(checked_vocabulary(vocab.select("token", "id")), "token")
+    # Broadcast by measured size; else adaptive execution splits the frequent tokens.
+    found = pieces.join(vocab.select("token", "id"), "token")
     best = found.groupBy("word", "start").agg(F.max(F.struct("len", "id")).alias("m"))
     return best.select("word", "start", "m.len", "m.id")
 
@@ -117,7 +111,7 @@ def tokenize(
 
 def _lookup(df: DataFrame, keys: Sequence[str], items: str, vocab: DataFrame, source: str, target: str, out: str) -> DataFrame:
     flat = df.select(*keys, F.posexplode_outer(items).alias("_pos", source))
-    found = flat.join(checked_vocabulary(vocab.select(source, target)), source, "left")
+    found = flat.join(vocab.select(source, target), source, "left")
     unknown = F.col(source).isNotNull() & F.col(target).isNull()
     message = F.concat(F.lit("not in the vocabulary: "), F.col(source).cast("string"))
     value = F.when(unknown, F.raise_error(message)).otherwise(F.col(target))

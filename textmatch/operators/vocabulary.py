@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..options import DEFAULTS, SPECIAL_TOKENS, Options
 from ..session import written
+from .positions import running_total
 
 _FIRST_CODE = 0x100
 _SURROGATES = (0xD800, 0xE000)
@@ -144,6 +145,13 @@ def train_vocabulary(counts: DataFrame, options: Options = DEFAULTS, batch: int
     return spark.createDataFrame(list(zip(tokens, range(len(tokens)))), "token string, id int")
 
 
-def number_tokens(tokens: DataFrame, order: list[str]) -> DataFrame:
-    """Number vocabulary tokens in a given order; a vocabulary is a bounded table."""
-    return tokens.select("token", (F.row_number().over(W.orderBy(*order)) - 1).cast("int").alias("id"))
+def number_tokens(tokens: DataFrame) -> DataFrame:
+    """Number distinct tokens by kind, place and code points (token, id).
+
+    ``tokens`` has kind, place and token. Running totals over prefixes of the sort key
+    keep every window small, however many tokens there are.
+    """
+    group = F.concat_ws("-", "kind", F.lpad(F.col("place").cast("string"), 10, "0"))
+    levels = [F.concat_ws("-", group, F.left(F.col("token"), F.lit(n))) for n in (1, 3, 5)]
+    total = running_total(tokens, levels, ["token"], F.lit(1), "_end")
+    return total.select("token", (F.col("_end") - 1).cast("int").alias("id"))

@@ -8,7 +8,7 @@ from ..functions.vectors import normalise, to_float32
 from ..operators import matching as M, neighbours as N, records as R
 from ..operators.skew import lookup_join
 from ..options import DEFAULTS, Options
-from ..session import fresh_path
+from ..session import fresh_path, written
 from ..sources.readers import Index, file_id, read_embeddings, read_index
 from ..sources.writers import write_index
 
@@ -24,11 +24,12 @@ def build_index(
 
 
 def build_index_from_records(
-    spark: SparkSession, records_path: str, index_path: str, options: Options = DEFAULTS, multi_line: bool = False
+    spark: SparkSession, records_path: str, index_path: str, options: Options = DEFAULTS, multi_line: bool = False,
+    centroids: DataFrame | None = None,
 ) -> Index:
     """Embedding record files to a stored index; nothing is collected."""
     records = read_embeddings(spark, records_path, multi_line).withColumn("file_id", file_id())
-    return build_index(R.token_vectors(records), index_path, options)
+    return build_index(R.token_vectors(records), index_path, options, centroids)
 
 
 def similarity(
@@ -46,19 +47,20 @@ def similarity(
     The threshold is applied before the best k are ranked: same rows, far fewer to rank.
     """
     k = options.neighbours if k is None else k
-    # 128 hash bits name a vector.
-    name = F.concat_ws("-", F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1)))
-    named = queries.withColumn("vector", name)
-    distinct = named.groupBy("vector").agg(F.first("embedding").alias("embedding"))
-    copies = named.groupBy("doc_id", "vector").agg(F.count("*").alias("_copies"))
+    # Equal vectors are grouped by value; the smallest row that carries one names it.
+    row = F.struct("doc_id", "query_id")
+    per_document = queries.groupBy("embedding", "doc_id").agg(F.count("*").alias("_copies"), F.min(row).alias("_row"))
+    per_document = written(per_document, "query-vectors")
+    named = per_document.groupBy("embedding").agg(F.min("_row").alias("_name"), F.count("*").alias("n"))
+    named = written(named.select("embedding", F.col("_name.doc_id").alias("named_doc"), F.col("_name.query_id").alias("named_query"), "n"), "vectors")
+    name = ["named_doc", "named_query"]
     hits = N.above_threshold(
-        distinct, index.vectors, index.centroids, ["vector"], M.CORPUS_IDS,
-        options.threshold, k, index.statistics, nprobe,
+        named, index.vectors, index.centroids, name, M.CORPUS_IDS, options.threshold, k, index.statistics, nprobe
     )
-    per_vector = hits.groupBy("vector", "file_id").agg(F.count("*").alias("_hits"))
+    per_vector = hits.groupBy(*name, "file_id").agg(F.count("*").alias("_hits"))
     # A vector found in most documents is spread over several tasks.
-    documents = copies.groupBy("vector").agg(F.count("*").alias("n"))
-    joined = lookup_join(copies, per_vector, "vector", documents, F.col("doc_id"), "inner")
+    found = per_vector.join(named.select(*name, "embedding"), name).select("embedding", "file_id", "_hits")
+    joined = lookup_join(per_document, found, "embedding", named, F.col("doc_id"), "inner")
     per_file = M.hits_per_file(joined, F.col("_copies") * F.col("_hits"))
     return M.match_percent(per_file, M.vectors_per_document(queries), k)
 

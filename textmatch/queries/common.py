@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..options import DEFAULTS, SPECIAL_TOKENS
-from ..session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- texts -------------------------------------------------------------------
@@ -121,7 +120,7 @@ def demo_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     specials = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIAL_TOKENS)], "kind int, place int, token string")
     both = specials.union(pieces.select(F.inline(forms)))
     # Read by every task of a tokenisation, so it is computed once.
-    return written(number_tokens(both, ["kind", "place", "token"]), "vocabulary")
+    return written(number_tokens(both), "vocabulary")
 
 
 def sql_pieces(occurrences: str, name: str = "pieces", walk: str = "walk") -> str:

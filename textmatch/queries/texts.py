@@ -222,14 +222,17 @@ def w2(spark, sf):
 )
 def s5(spark, sf):
     path = fresh_path(spark, "vocab")
-    items = table(spark, sf, "benchmark").orderBy("item_id").coalesce(1)  # one file: its lines are the ids
-    items.select(F.explode(F.split("text", "[ \n]", -1)).alias("w")).write.text(path)
+    # A vocabulary is one file, and its lines are the ids: one value, written as it is.
+    lines = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+    words = F.flatten(F.transform(lines, lambda x: F.split(x["text"], "[ \n]", -1)))
+    table(spark, sf, "benchmark").agg(F.array_join(words, "\n").alias("value")).write.text(path)
     return readers.read_vocabulary(spark, path)
 
 
 @query(
     "s9_clean_texts",
-    f"WITH {sql_sentences()} SELECT doc_id, string_agg(sentence, chr(10) ORDER BY pos) AS text FROM sentences GROUP BY doc_id",
+    f"WITH {sql_sentences()} SELECT d.doc_id, coalesce(string_agg(sentence, chr(10) ORDER BY pos), '') AS text "
+    "FROM documents d LEFT JOIN sentences s ON s.doc_id = d.doc_id GROUP BY d.doc_id",
 )
 def s9(spark, sf):
     path = fresh_path(spark, "clean")

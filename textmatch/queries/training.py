@@ -15,7 +15,7 @@ from ..session import fresh_path, written
 from ..sources import readers, writers
 from .common import demo_vocabulary, query, table
 
-SEED, ROUNDS = 42, 2
+SEED, ROUNDS = 42, DEFAULTS.dupe_factor
 OPTIONS = replace(DEFAULTS, dupe_factor=ROUNDS)
 LIMIT = OPTIONS.max_seq_length - 3
 
@@ -83,14 +83,15 @@ def u2(spark, sf):
 
 
 # ---- training data ------------------------------------------------------------------------
-# Tokens are the blank-separated words of the lines, cut to two pieces when long, so that
+# Tokens are the blank-separated words of the lines, cut to pieces of five letters, so that
 # the queries check the planning and masking apart from tokenisation.
 
 SQL_SEGS = """
 lines AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 line_words AS (SELECT doc_id, i, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws FROM lines),
 segs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS seg_no,
-    flatten(list_transform(ws, lambda w: CASE WHEN length(w) > 6 THEN [left(w, 5), '##' || substring(w, 6)] ELSE [w] END)) AS tokens
+    flatten(list_transform(ws, lambda w: list_transform(range(0, (length(w) + 4) // 5),
+        lambda k: CASE WHEN k > 0 THEN '##' ELSE '' END || substring(w, 5 * k + 1, 5)))) AS tokens
     FROM line_words WHERE len(ws) > 0),
 lengths AS (SELECT doc_id, list(len(tokens) ORDER BY seg_no) AS lens, count(*) AS n_segs FROM segs GROUP BY doc_id),
 ranks AS (SELECT doc_id, lens, n_segs, row_number() OVER (ORDER BY """ + h("'order'", "doc_id") + """, doc_id) - 1 AS rank FROM lengths)"""
@@ -100,10 +101,11 @@ def segs(spark, sf):
     docs = table(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("seg_no", "line"))
     words = F.filter(F.split("line", " ", -1), lambda w: w != "")
-    halves = F.transform(words, lambda w: F.when(
-        F.length(w) > 6, F.array(F.substring(w, 1, 5), F.concat(F.lit("##"), F.substring(w, F.lit(6), F.length(w))))
-    ).otherwise(F.array(w)))
-    return P.numbered_segments(lines.select("doc_id", "seg_no", F.flatten(halves).alias("tokens")))
+    pieces = F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(w) - 1) / 5).cast("int")),
+        lambda k: F.concat(F.when(k > 0, "##").otherwise(""), F.substring(w, k * 5 + 1, F.lit(5))),
+    ))
+    return P.numbered_segments(lines.select("doc_id", "seg_no", F.flatten(pieces).alias("tokens")))
 
 
 def ranked(spark, sf):
@@ -314,7 +316,7 @@ def word_vocabulary(spark, tokens):
     distinct = tokens.select(F.explode("tokens").alias("token")).distinct()
     specials = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIAL_TOKENS)], "kind int, place int, token string")
     both = specials.union(distinct.select(F.lit(1), F.lit(0), "token"))
-    return written(number_tokens(both, ["kind", "place", "token"]), "vocabulary")
+    return written(number_tokens(both), "vocabulary")
 
 
 _DRAW = {n: u(f"'{n}'", "k.round", "k.doc_id", "k.start", "k.p") for n in ("mask80", "keep50", "token")}
@@ -323,7 +325,7 @@ draws AS (SELECT k.*, CAST(floor({_DRAW['token']} * (SELECT n FROM vocab_size))
 changes AS (SELECT k.round, k.doc_id, k.start, k.p, f.token AS label, CASE WHEN {_DRAW['mask80']} < 0.8 THEN '[MASK]' WHEN {_DRAW['keep50']} < 0.5 THEN f.token ELSE v.token END AS new
     FROM draws k JOIN flat f ON f.round = k.round AND f.doc_id = k.doc_id AND f.start = k.start AND f.i = k.p JOIN vocab v ON v.id = k.vid),
 masked AS (SELECT f.round, f.doc_id, f.start, list(coalesce(c.new, f.token) ORDER BY f.i) AS tokens,
-    list(c.p ORDER BY f.i) FILTER (c.p IS NOT NULL) AS positions, list(c.label ORDER BY f.i) FILTER (c.p IS NOT NULL) AS labels
+    coalesce(list(c.p ORDER BY f.i) FILTER (c.p IS NOT NULL), []) AS positions, coalesce(list(c.label ORDER BY f.i) FILTER (c.p IS NOT NULL), []) AS labels
     FROM flat f LEFT JOIN changes c ON f.round = c.round AND f.doc_id = c.doc_id AND f.start = c.start AND f.i = c.p GROUP BY ALL)"""
 
 
@@ -355,9 +357,9 @@ token_ids AS (SELECT m.round, m.doc_id, m.start, list(v.id ORDER BY m.i) AS ids
 label_ids AS (SELECT m.round, m.doc_id, m.start, list(v.id ORDER BY m.i) AS lids FROM (SELECT round, doc_id, start, unnest(labels) AS token, generate_subscripts(labels, 1) AS i FROM masked) m JOIN vocab v USING (token) GROUP BY ALL),
 placed AS (SELECT round, doc_id, start, row_number() OVER (ORDER BY {h("'instances'", 'round', 'doc_id', 'start')}, round, doc_id, start) - 1 AS position FROM masked),
 records AS (SELECT round, doc_id, start, CAST(position % 4 AS INTEGER) AS shard, {_sql_pad('ids', 128)} AS input_ids, {_sql_pad('list_transform(ids, lambda q: 1)', 128)} AS input_mask,
-    {_sql_pad('segment_ids', 128)} AS segment_ids, {_sql_pad('positions', 20)} AS positions, {_sql_pad('lids', 20)} AS label_ids,
+    {_sql_pad('segment_ids', 128)} AS segment_ids, {_sql_pad('positions', 20)} AS positions, {_sql_pad('coalesce(lids, [])', 20)} AS label_ids,
     CAST(len(positions) AS DOUBLE) AS weight, CAST(is_random_next AS INTEGER) AS next_label
-    FROM masked JOIN inst USING (round, doc_id, start) JOIN token_ids USING (round, doc_id, start) JOIN label_ids USING (round, doc_id, start) JOIN placed USING (round, doc_id, start))"""
+    FROM masked JOIN inst USING (round, doc_id, start) JOIN token_ids USING (round, doc_id, start) LEFT JOIN label_ids USING (round, doc_id, start) JOIN placed USING (round, doc_id, start))"""
 
 
 def record_files(spark, sf):

@@ -13,7 +13,7 @@ from ..plans import checking, indexing
 from ..plans.model import hashed_token_model
 from ..session import fresh_path, written
 from ..sources import readers, writers
-from ..streaming.checking import score_stream
+from ..streaming.checking import check_stream, read_scores, score_stream
 from ..streaming.indexing import extend_index
 from .common import (
     K, LOW, SQL_CELLS, SQL_SCORED, SQL_UNIT, SQL_VOCAB, THRESHOLD, corpus_vectors, demo_index, demo_vocabulary,
@@ -63,7 +63,7 @@ def stored_records(spark, sf):
 @query("s1_embedding_scan", f"WITH {SQL_RECORDS} SELECT linex_index, token, CAST(layer AS BIGINT) AS layer, {_SQL_TOTAL} FROM unnested")
 def s1(spark, sf):
     rows = R.unnest(stored_records(spark, sf), ())
-    return rows.select(F.shiftright("vec_id", 24).alias("linex_index"), "token", "layer", _total())
+    return rows.select(F.shiftright("vec_id", 32).alias("linex_index"), "token", "layer", _total())
 
 
 @query("s6_embedding_sink", f"WITH {SQL_RECORDS} SELECT linex_index, CAST(len(v) AS INTEGER) AS n, round(CAST(v[1] AS DOUBLE), 6) AS first FROM unnested WHERE layer = -1")
@@ -90,7 +90,7 @@ def p1(spark, sf):
 
 @query(
     "p3_unnest",
-    f"WITH {SQL_RECORDS} SELECT CAST(label AS BIGINT) AS file_id, linex_index * 16777216 + lay AS vec_id, token, CAST(layer AS BIGINT) AS layer, {_SQL_TOTAL} FROM unnested",
+    f"WITH {SQL_RECORDS} SELECT CAST(label AS BIGINT) AS file_id, linex_index * 4294967296 + lay AS vec_id, token, CAST(layer AS BIGINT) AS layer, {_SQL_TOTAL} FROM unnested",
 )
 def p3(spark, sf):
     return R.unnest(records(spark, sf)).select("file_id", "vec_id", "token", "layer", _total())
@@ -99,7 +99,7 @@ def p3(spark, sf):
 _SQL_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-@query("p4_no_stop_words", f"WITH {SQL_RECORDS} SELECT linex_index * 16777216 + lay AS vec_id, token FROM unnested WHERE token NOT IN ({_SQL_STOP})")
+@query("p4_no_stop_words", f"WITH {SQL_RECORDS} SELECT linex_index * 4294967296 + lay AS vec_id, token FROM unnested WHERE token NOT IN ({_SQL_STOP})")
 def p4(spark, sf):
     return R.without_tokens(R.unnest(records(spark, sf))).select("vec_id", "token")
 
@@ -141,6 +141,8 @@ def r4(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.array_join(scaled.cast("array<string>"), " ").alias("out"))
 
 
+ALL_CELLS = 1 << 30  # probes
+
 # ---- vector expressions ----------------------------------------------------------
 
 
@@ -149,9 +151,10 @@ def r4(spark, sf):
     f"WITH {SQL_CELLS} SELECT vec_id, CAST(cell AS INTEGER) AS cell, s AS score FROM cell_scores",
 )
 def m1(spark, sf):
-    # Every vector against the few label centres.
-    centres = F.broadcast(label_centroids(spark, sf).withColumn("_k", F.lit(1)))
-    both = corpus_vectors(spark, sf).withColumn("_k", F.lit(1)).join(centres, "_k")
+    # Every vector against every label centre: all cells are probed, centres come by a join.
+    centres = written(label_centroids(spark, sf), "centres")
+    probed = N.probe_closest(corpus_vectors(spark, sf).select("vec_id", "embedding"), centres, ALL_CELLS)
+    both = probed.join(centres, "cell")
     return both.select("vec_id", "cell", F.round(X.dot(F.col("embedding"), F.col("centroid")), 6).alias("score"))
 
 
@@ -239,13 +242,21 @@ def k2(spark, sf):
     return N.assign_cells(corpus_vectors(spark, sf), label_centroids(spark, sf)).select("vec_id", "cell", "cell_score")
 
 
-@query("k1_train_clusters", "SELECT count(*) AS n_vectors, CAST(10 AS BIGINT) AS n_cells, 64 AS dim FROM embeddings")
+@query("k1_train_clusters", "SELECT vec_id, 64 AS dim, TRUE AS is_closest, TRUE AS is_as_good FROM embeddings")
 def k1(spark, sf):
-    vectors = corpus_vectors(spark, sf)
-    centroids = N.train_centroids(vectors)
-    sizes = N.assign_cells(vectors, centroids).groupBy("cell").agg(F.count("*").alias("n")).join(centroids, "cell")
-    return sizes.agg(
-        F.sum("n").alias("n_vectors"), F.count("*").alias("n_cells"), F.max(F.size("centroid")).alias("dim")
+    # SQL cannot train, but says what must hold: every vector lies in its closest cell, and
+    # the cells fit the vectors as well as the labels' own centres do, within 2 %.
+    vectors = corpus_vectors(spark, sf).select("vec_id", "embedding")
+    centroids = written(N.train_centroids(vectors, seed=7), "centres")
+    assigned = written(N.assign_cells(vectors, centroids), "assigned")
+    scores = N.probe_closest(vectors, centroids, ALL_CELLS).join(centroids, "cell")
+    best = scores.groupBy("vec_id").agg(F.max(F.round(X.dot(F.col("embedding"), F.col("centroid")), 6)).alias("best"))
+    labels = N.assign_cells(vectors, written(label_centroids(spark, sf), "labels"))
+    cost = lambda rows: rows.agg(F.sum(1 - F.col("cell_score"))).scalar()
+    dims = centroids.select("cell", F.size("centroid").alias("dim"))
+    return assigned.join(best, "vec_id").join(dims, "cell").select(
+        "vec_id", "dim", (F.abs(F.col("cell_score") - F.col("best")) <= 2e-6).alias("is_closest"),
+        (cost(assigned) <= cost(labels) * 1.02).alias("is_as_good"),
     )
 
 
@@ -258,8 +269,7 @@ def w3(spark, sf):
     pairs = N.above_threshold(
         query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, 0.2
     )
-    n = corpus_vectors(spark, sf).count()
-    return N.best_k(pairs, M.QUERY_IDS, M.CORPUS_IDS, n).select("doc_id", "query_id", "vec_id", "rank")
+    return N.best_k(pairs, M.QUERY_IDS, M.CORPUS_IDS, None).select("doc_id", "query_id", "vec_id", "rank")
 
 
 def hits(spark, sf, k: int | None = K):
@@ -311,10 +321,12 @@ def a3(spark, sf):
     "FROM scored GROUP BY ALL HAVING percent > 0",
 )
 def a4(spark, sf):
-    rows = corpus_vectors(spark, sf)
-    return M.exceed_percent(
-        hits(spark, sf, None), M.vectors_per_document(query_vectors(spark, sf)), M.vectors_per_file(rows)
+    rows, index = corpus_vectors(spark, sf), demo_index(spark, sf)
+    queries = query_vectors(spark, sf)
+    counted = N.count_above_threshold(
+        queries, index.vectors, index.centroids, M.QUERY_IDS, "file_id", THRESHOLD, index.statistics
     )
+    return M.exceed_percent(counted, M.vectors_per_document(queries), M.vectors_per_file(rows))
 
 
 @query("a5_vectors_per_file", "SELECT CAST(label AS BIGINT) AS file_id, count(*) AS n_vectors FROM embeddings GROUP BY label")
@@ -327,7 +339,7 @@ def a6(spark, sf):
     return M.number_of_files(corpus_vectors(spark, sf))
 
 
-@query("a7_adaptive_k", "SELECT CAST(10 / 100.0 * 1000 * count(DISTINCT label) AS INTEGER) AS k FROM embeddings")
+@query("a7_adaptive_k", "SELECT CAST(10 / 100.0 * 1000 * count(DISTINCT label) AS BIGINT) AS k FROM embeddings")
 def a7(spark, sf):
     return M.adaptive_k(M.number_of_files(corpus_vectors(spark, sf)))
 
@@ -356,9 +368,20 @@ def p10(spark, sf):
 
 @query("j4a_file_by_id", f"WITH {sql_hits()} SELECT doc_id, file_id, count(*) AS hits FROM hits GROUP BY ALL")
 def j4a(spark, sf):
-    found = hits(spark, sf).select("doc_id", "vec_id")
-    files = corpus_vectors(spark, sf).select("vec_id", "file_id")
-    return M.hits_per_file(M.attribute_by_id(found, files), F.col("n"))
+    # Vectors are numbered anew in each file, as record files do, so numbers repeat.
+    vectors = corpus_vectors(spark, sf)
+    numbers = G.running_total(
+        vectors.drop("embedding"), G.integer_levels(F.col("vec_id")), ["vec_id"], F.lit(1), "number", within=["file_id"]
+    ).select("file_id", "vec_id", "number")
+    corpus = vectors.join(numbers, ["file_id", "vec_id"]).withColumn("vec_id", F.col("number")).drop("number")
+    index = indexing.build_index(corpus, fresh_path(spark, "index"), centroids=label_centroids(spark, sf))
+    found = N.above_threshold(
+        query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, THRESHOLD, K, index.statistics
+    )
+    files = corpus.select("file_id", "vec_id", F.concat(F.lit("file-"), "file_id").alias("file"))
+    named = M.attribute_by_id(found, files)
+    per_file = named.withColumn("file_id", F.regexp_extract("file", "[0-9]+", 0).cast("bigint"))
+    return M.hits_per_file(per_file, F.col("n"))
 
 
 @query(
@@ -371,7 +394,9 @@ def j4b(spark, sf):
     offsets = G.file_offsets(M.vectors_per_file(vectors))
     # Positions as the older index gave them: files in a row, vectors in id order.
     placed = G.running_total(
-        vectors.select("file_id", "vec_id"), [F.col("file_id"), F.shiftright("vec_id", 16)], ["vec_id"], F.lit(1), "position"
+        vectors.select("file_id", "vec_id"),
+        [*G.integer_levels(F.col("file_id")), F.col("file_id"), F.shiftright("vec_id", 16)],
+        ["vec_id"], F.lit(1), "position",
     ).select("vec_id", (F.col("position") - 1).alias("position"))
     found = hits(spark, sf).groupBy("doc_id", "vec_id").agg(F.count("*").alias("hits"))
     rows = found.join(placed, "vec_id").select("doc_id", "position", "hits")
@@ -421,13 +446,17 @@ def c3(spark, sf):
 
 @query(
     "c7_build_index",
-    f"WITH {SQL_RECORDS} SELECT token, count(*) AS n FROM unnested WHERE token NOT IN ({_SQL_STOP}) GROUP BY token",
+    f"WITH {SQL_RECORDS}, {SQL_CELLS} SELECT linex_index * 4294967296 + lay AS vec_id, token, c.cell "
+    f"FROM unnested u JOIN cells c ON c.vec_id = u.linex_index WHERE token NOT IN ({_SQL_STOP})",
 )
 def c7(spark, sf):
+    # Both layers of a record have the same direction, so both lie in its vector's cell.
     path = fresh_path(spark, "records")
     writers.write_embeddings(records(spark, sf), path)
-    index = indexing.build_index_from_records(spark, path, fresh_path(spark, "index"))
-    return index.vectors.groupBy("token").agg(F.count("*").alias("n"))
+    index = indexing.build_index_from_records(
+        spark, path, fresh_path(spark, "index"), centroids=label_centroids(spark, sf)
+    )
+    return index.vectors.select("vec_id", "token", "cell")
 
 
 # ---- checks of whole documents ----------------------------------------------------------------
@@ -444,7 +473,7 @@ def _sql_check(pieces: str) -> str:
 sent AS (SELECT doc_id, pos, flatten(list(pieces ORDER BY tok)) AS t FROM occ JOIN wp USING (word) GROUP BY ALL),
 framed AS (SELECT doc_id, pos, flatten([['[CLS]'], t[1:126], ['[SEP]']]) AS t FROM sent),
 placed AS (SELECT doc_id, pos, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS tok FROM framed),
-vecs AS (SELECT doc_id, pos * 16777216 + tok * 16 AS vec_id, token FROM placed WHERE token NOT IN ({_SQL_STOP})),
+vecs AS (SELECT doc_id, pos * 4294967296 + tok * 4096 AS vec_id, token FROM placed WHERE token NOT IN ({_SQL_STOP})),
 model AS (SELECT id, token, list_transform(range(0, 16), lambda j: CAST(
     ((id * 7919 + j * j * 104729 + (id % 97) * (j + 1) * 15485863) % 10007) / CAST(5003.5 AS DOUBLE) - 1.0 AS FLOAT)) AS v
     FROM (SELECT CAST(id AS BIGINT) AS id, token FROM vocab WHERE token IN (SELECT token FROM vecs))),
@@ -502,14 +531,29 @@ def c6(spark, sf):
 # ---- streams ------------------------------------------------------------------------------------
 
 
-@query("st1_check_stream", f"WITH {_PERCENT} SELECT * FROM percents")
+@query("st1_check_stream", _sql_check(sql_sentences()))
 def st1(spark, sf):
+    from ..operators.sentences import sentences
+
+    docs, vocab = table(spark, sf, "documents").select("doc_id", "text"), demo_vocabulary(spark, sf)
+    index = document_index(spark, sf, sentences(docs, CHECK), vocab)
+    incoming, out = fresh_path(spark, "incoming"), fresh_path(spark, "verdicts")
+    docs.repartition(2, "doc_id").write.parquet(incoming)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(incoming)  # two micro-batches
+    run = check_stream(stream, index, vocab, hashed_token_model(16), out, fresh_path(spark, "stream"), CHECK)
+    run.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query("st1_score_stream", f"WITH {_PERCENT} SELECT * FROM percents")
+def st1_scores(spark, sf):
     incoming, out = fresh_path(spark, "incoming"), fresh_path(spark, "scores")
-    query_vectors(spark, sf).coalesce(1).write.parquet(incoming)  # a document must not span micro-batches
-    stream = spark.readStream.schema("doc_id bigint, query_id bigint, embedding array<float>").parquet(incoming)
+    queries = query_vectors(spark, sf)
+    queries.repartition(3, "query_id").write.parquet(incoming)  # documents span files and micro-batches
+    stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
     run = score_stream(stream, demo_index(spark, sf), out, fresh_path(spark, "stream"), LOW)
     run.awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return read_scores(spark, out, K)
 
 
 @query("st2_extend_index", f"WITH {SQL_CELLS} SELECT vec_id, file_id, cell, s AS cell_score FROM cells")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +25,30 @@ def local_session(app: str = "textmatch", cores: int | str = "*", partitions: in
     )
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a local test run gets one of its own."""
-    folder = spark.conf.get(SHARED_DIR_KEY, None) or spark.sparkContext.getConf().get(SHARED_DIR_KEY)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="textmatch-", dir="/tmp")
-    spark.conf.set(SHARED_DIR_KEY, folder)
-    return folder
+    """This application's folder: below the cluster's shared one, else below the warehouse.
+
+    It holds the tables an application writes for itself and goes when the driver ends.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        top = spark.conf.get(SHARED_DIR_KEY, None) or context.getConf().get(SHARED_DIR_KEY)
+        top = top or spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{top.rstrip('/')}/textmatch-{context.applicationId}"
+        _folders[context.applicationId] = folder
+        atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), folder)
+    return _folders[context.applicationId]
+
+
+def _remove(jvm, configuration, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # the JVM is gone already: nothing can be removed through it
+        pass
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -51,9 +65,3 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     path = fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of fewer files than cores; bigger tables stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.positions import document_numbers
+from ..functions.text import trimmed
+from ..operators.positions import document_numbers, hash_levels, running_total
+from ..operators.neighbours import merged_statistics
 from ..operators.records import RECORD_SCHEMA
-from .writers import VECTOR_SCHEMA
+from .writers import STATISTICS_SCHEMA, VECTOR_SCHEMA
 
 
 def file_id(path: str = "file"):
@@ -20,9 +22,10 @@ def file_id(path: str = "file"):
 def read_embeddings(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
     """Embedding records of a folder tree (file, linex_index, features).
 
-    One object per line by default; ``multi_line`` reads one object per file.
+    One object per line by default; ``multi_line`` reads one object per file. A line that
+    is no such object is an error.
     """
-    reader = spark.read.schema(RECORD_SCHEMA).option("recursiveFileLookup", True).option("multiLine", multi_line)
+    reader = spark.read.schema(RECORD_SCHEMA).option("recursiveFileLookup", True).option("mode", "FAILFAST").option("multiLine", multi_line)
     return reader.json(path).select(F.col("_metadata.file_path").alias("file"), "linex_index", "features")
 
 
@@ -52,16 +55,20 @@ def read_training_corpus(spark: SparkSession, patterns: str) -> DataFrame:
     Returns (file, doc_no, doc_id, block, line_no, line).
     """
     numbered = document_numbers(read_lines(spark, patterns))
-    return numbered.withColumns(
-        {"line": F.trim("line"), "doc_id": F.xxhash64("file", "doc_no")}
-    )
+    # Documents are numbered through all files, so no two share an id.
+    files = numbered.groupBy("file").agg((F.max("doc_no") + 1).alias("_n")).withColumn("_digest", F.md5("file"))
+    ends = running_total(files, hash_levels(F.col("_digest")), ["_digest", "file"], F.col("_n"), "_end")
+    first = ends.select("file", (F.col("_end") - F.col("_n")).alias("_first"))
+    return numbered.join(first, "file").withColumns(
+        {"line": trimmed(F.col("line")), "doc_id": F.col("_first") + F.col("doc_no")}
+    ).drop("_first")
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Vocabulary file: the id is the line number, the last of equal lines wins."""
     lines = F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n"))
     rows = spark.read.text(path, wholetext=True).select(lines.alias("id", "line"))
-    token = F.regexp_replace("line", r"^\s+|\s+$", "")
+    token = trimmed(F.col("line"))
     return rows.groupBy(token.alias("token")).agg(F.max("id").alias("id"))
 
 
@@ -79,7 +86,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(
         spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors").drop("batch"),
         spark.read.parquet(f"{path}/centroids"),
-        spark.read.parquet(f"{path}/statistics"),
+        merged_statistics(spark.read.schema(STATISTICS_SCHEMA).parquet(f"{path}/statistics")),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.neighbours import assign_cells, cell_statistics
@@ -10,12 +9,14 @@ from ..operators.records import rounded_records
 from ..operators.sentences import clean_texts, not_done, sentences
 from ..options import DEFAULTS, Options
 
-FILES_PER_CELL = 16
+ROWS_PER_FILE = 250_000
 # The last two are folders.
 VECTOR_SCHEMA = (
     "file_id bigint, vec_id bigint, token string, embedding array<float>, cell_score double, batch string, cell int"
 )
 
+STATISTICS_SCHEMA = "cell int, n_vectors bigint, min_score double, batch string"
+
 
 def write_embeddings(records: DataFrame, path: str) -> None:
     """One JSON object per sentence and line, values rounded to 6 digits."""
@@ -23,13 +24,22 @@ def write_embeddings(records: DataFrame, path: str) -> None:
 
 
 def write_clean_texts(docs: DataFrame, path: str, options: Options = DEFAULTS) -> None:
-    """Clean texts (doc_id, text), appended for the documents not stored yet."""
-    spark = docs.sparkSession
-    try:
-        todo = not_done(docs, spark.read.parquet(path))
-    except AnalysisException:  # nothing was stored so far
-        todo = docs
-    clean_texts(sentences(todo, options)).write.mode("append").parquet(path)
+    """Clean texts (doc_id, text), appended for the documents not stored yet.
+
+    A document without a sentence is stored with an empty text, so it is done, too.
+    """
+    todo = docs.select("doc_id", "text")
+    if exists(docs.sparkSession, path):
+        todo = not_done(todo, docs.sparkSession.read.parquet(path))
+    texts = clean_texts(sentences(todo, options)).withColumnRenamed("text", "_clean")
+    whole = todo.select("doc_id").distinct().join(texts, "doc_id", "left")
+    whole.select("doc_id", F.coalesce("_clean", F.lit("")).alias("text")).write.mode("append").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_corpus(pieces: DataFrame, path: str) -> None:
@@ -41,25 +51,24 @@ def write_index(vectors: DataFrame, centroids: DataFrame, path: str) -> None:
     """Store vectors by cell, with the centres and the cell statistics."""
     centroids.write.parquet(f"{path}/centroids")
     write_vectors(vectors, centroids, path, "build")
-    refresh_statistics(vectors.sparkSession, path)
 
 
 def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: str) -> None:
-    """Assign vectors to cells and store them as one batch of the index.
+    """Assign vectors to cells and store them as one batch of the index, with its statistics.
 
-    The rows of a cell are spread over hashed writers, so a crowded cell becomes several
-    files instead of one task. Writing a batch again replaces it.
+    A cell's rows go to as many hashed writers as its count asks for, so a crowded cell
+    becomes several files and a small one a single file. Writing a batch again replaces it.
     """
     assigned = assign_cells(vectors, centroids)
-    spread = F.pmod(F.xxhash64("file_id", "vec_id"), F.lit(FILES_PER_CELL))
-    rows = assigned.repartition("cell", spread)
-    rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors/batch={batch}")
-
-
-def refresh_statistics(spark: SparkSession, path: str) -> None:
-    """Count the cells of all stored batches."""
-    stored = spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors")
-    cell_statistics(stored).write.mode("overwrite").parquet(f"{path}/statistics")
+    sizes = assigned.groupBy("cell").agg(F.ceil(F.count("*") / ROWS_PER_FILE).cast("int").alias("_files"))
+    sized = assigned.join(F.broadcast(sizes), "cell")  # one row per cell
+    spread = F.pmod(F.xxhash64("file_id", "vec_id"), F.col("_files")).cast("int")
+    rows = sized.withColumn("_file", spread).repartition("cell", "_file").drop("_files", "_file")
+    stored = f"{path}/vectors/batch={batch}"
+    rows.write.mode("overwrite").partitionBy("cell").parquet(stored)
+    spark = vectors.sparkSession
+    written = spark.read.schema(VECTOR_SCHEMA).option("basePath", f"{path}/vectors").parquet(stored)
+    cell_statistics(written).write.mode("overwrite").parquet(f"{path}/statistics/batch={batch}")
 
 
 def write_records(records: DataFrame, path: str) -> None:

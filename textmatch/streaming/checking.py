@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.encoding import Model
+from ..operators.matching import match_percent, vectors_per_document
 from ..options import DEFAULTS, Options
 from ..plans.checking import check_documents
 from ..plans.indexing import similarity
@@ -49,10 +50,16 @@ def check_stream(
 def score_stream(
     vectors: DataFrame, index: Index, path: str, checkpoint: str, options: Options = DEFAULTS, k: int | None = None
 ) -> StreamingQuery:
-    """Score query vectors of a stream; a document must not span micro-batches."""
+    """Score query vectors of a stream; :func:`read_scores` gives the percentages.
+
+    Each micro-batch stores hits per document and file and vectors per document, so a
+    document may span any number of them.
+    """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        similarity(batch, index, options, k=k).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        hits = similarity(batch, index, options, k=k).select("doc_id", "file_id", "hits")
+        hits.write.mode("overwrite").parquet(_batch_path(f"{path}/hits", batch_id))
+        vectors_per_document(batch).write.mode("overwrite").parquet(_batch_path(f"{path}/vectors", batch_id))
 
     return (
         vectors.writeStream.foreachBatch(score)
@@ -60,3 +67,10 @@ def score_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_scores(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Percentages over all micro-batches so far (doc_id, file_id, hits, percent)."""
+    hits = spark.read.parquet(f"{path}/hits").groupBy("doc_id", "file_id").agg(F.sum("hits").alias("hits"))
+    vectors = spark.read.parquet(f"{path}/vectors").groupBy("doc_id").agg(F.sum("n_query").alias("n_query"))
+    return match_percent(hits, vectors, k)
