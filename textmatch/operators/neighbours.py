@@ -34,14 +34,15 @@ def train_centroids(
     """Unit-length centres of a cosine k-means (cell, centroid).
 
     Without a number of ``clusters`` it is the square root of the number of vectors: the
-    work inside cells then grows as its power 1.5. A corpus without directions has none.
+    work inside cells then grows as its power 1.5. An empty corpus has no centres.
     """
     # A zero vector has no direction, so it cannot train a cosine clustering.
     some = vectors.filter(F.exists(embedding, lambda x: x != 0))
     points = some.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
     n = points.count() if clusters is None else points.limit(1).count()
-    if n == 0:
-        return vectors.sparkSession.createDataFrame([], CENTROID_SCHEMA)
+    if n == 0:  # zero vectors share one cell around zero
+        dims = vectors.select(F.size(embedding).alias("n")).limit(1).collect()
+        return vectors.sparkSession.createDataFrame([(0, [0.0] * r["n"]) for r in dims], CENTROID_SCHEMA)
     clusters = clusters or max(1, round(n**0.5))
     model = KMeans(k=clusters, distanceMeasure="cosine", seed=seed).fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(unit_rows(np.array(model.clusterCenters())))]
