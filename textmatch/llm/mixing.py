@@ -72,7 +72,7 @@ def quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Data
     whole = W.partitionBy()
     shares = (
         sources.withColumn("n", F.count("*").over(whole))
-        .withColumn("all", F.sum("target").over(whole))
+        .withColumn("all", F.sum("source_size").over(whole))  # what the targets share out; exact in any order
         .filter("target > 0")
         .select("rank", "n", (F.col("target") / F.col("all")).alias("p"), F.ceil(F.col("all") / block).alias("seats"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

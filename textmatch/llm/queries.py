@@ -45,7 +45,28 @@ def kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 2: mixing -------------------------------------------------------------------
 
 
-@query("op2_mix_sources")
+SQL_MIX = f"""
+WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sizes GROUP BY source),
+sources AS (SELECT *, [{', '.join(f'CAST({w} AS DOUBLE)' for w in mixing.WEIGHTS)}][(rank - 1) % {len(mixing.WEIGHTS)} + 1] AS weight,
+    CAST(source_size * {mixing.MAX_REPEATS} AS DOUBLE) AS most FROM sums),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM sources WINDOW before AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT min(level) AS level FROM (SELECT level FROM levels WHERE most / weight > level ORDER BY most / weight, rank LIMIT 1)),
+targets AS (SELECT l.*, CASE WHEN most / weight <= l.level THEN most ELSE least(most, weight * w.level) END AS target FROM levels l, water w),
+total AS (SELECT sum(source_size) AS t, count(*) AS n FROM targets),
+seats AS (SELECT rank, unnest(range(0, CAST(ceil(target / t * (ceil(t / {mixing.BLOCK}) + n / 2)) AS BIGINT) + 2)) AS k, target / t AS p, t FROM targets, total WHERE target > 0),
+won AS (SELECT rank, count(*) AS blocks FROM (SELECT rank, row_number() OVER (ORDER BY p / (2 * k + 1) DESC, rank, k) AS place, t FROM seats)
+    WHERE place <= ceil(t / {mixing.BLOCK}) GROUP BY rank),
+plan AS (SELECT t.source, t.source_size, t.target, least(coalesce(blocks, 0) * {mixing.BLOCK}, source_size * {mixing.MAX_REPEATS}) AS take FROM targets t LEFT JOIN won USING (rank)),
+stream AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), CAST(size AS VARCHAR))), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS first FROM sizes)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE take // source_size * size
+    + greatest(0, least(size, take % source_size - first)) END AS BIGINT) AS taken
+FROM stream s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source"""
+
+
+@query("op2_mix_sources", SQL_MIX)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
