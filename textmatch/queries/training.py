@@ -13,7 +13,7 @@ from ..options import DEFAULTS, SPECIAL_TOKENS
 from ..plans import training_data
 from ..session import fresh_path, written
 from ..sources import readers, writers
-from .common import demo_vocabulary, query, table
+from .common import demo_vocabulary, query, sql_tokens, table
 
 SEED, ROUNDS = 42, DEFAULTS.dupe_factor
 OPTIONS = replace(DEFAULTS, dupe_factor=ROUNDS)
@@ -371,13 +371,7 @@ def record_files(spark, sf):
 
 @query("s10_record_sink", f"WITH RECURSIVE {SQL_RECORDS} SELECT * FROM records")
 def s10(spark, sf):
-    rows = spark.read.parquet(record_files(spark, sf))
-    weight = F.aggregate("masked_lm_weights", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return rows.select(
-        "round", "doc_id", "start", "shard", _text("input_ids").alias("input_ids"), _text("input_mask").alias("input_mask"),
-        _text("segment_ids").alias("segment_ids"), _text("masked_lm_positions").alias("positions"),
-        _text("masked_lm_ids").alias("label_ids"), weight.alias("weight"), F.element_at("next_sentence_labels", 1).alias("next_label"),
-    )
+    return record_columns(spark.read.parquet(record_files(spark, sf)))
 
 
 _EPOCH_ORDER = h("'epochs'", "epoch", "round", "doc_id", "start")
@@ -400,11 +394,29 @@ def a13(spark, sf):
     return spark.read.parquet(record_files(spark, sf)).agg(F.count("*").alias("n"))
 
 
-@query("g7_training_records")
+# The whole job: lines of documents, tokenised with the demonstration vocabulary.
+SQL_LINE_SEGS = """
+text_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS seg_no FROM documents),
+lines AS (SELECT * FROM text_lines WHERE trim(line) <> ''), """ + sql_tokens("lines", "doc_id, seg_no", "line") + """,
+segs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS INTEGER) AS seg_no, tokens FROM toks WHERE len(tokens) > 0),
+""" + SQL_SEGS[SQL_SEGS.index("lengths AS"):]
+SQL_JOB = SQL_RECORDS.replace(SQL_SEGS, SQL_LINE_SEGS).replace(SQL_WORD_VOCAB, "vocab_size AS (SELECT count(*) AS n FROM vocab)")
+
+
+def record_columns(rows):
+    weight = F.aggregate("masked_lm_weights", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select(
+        "round", "doc_id", "start", "shard", _text("input_ids").alias("input_ids"), _text("input_mask").alias("input_mask"),
+        _text("segment_ids").alias("segment_ids"), _text("masked_lm_positions").alias("positions"),
+        _text("masked_lm_ids").alias("label_ids"), weight.alias("weight"), F.element_at("next_sentence_labels", 1).alias("next_label"),
+    )
+
+
+@query("g7_training_records", f"WITH RECURSIVE {SQL_JOB} SELECT * FROM records")
 def g7(spark, sf):
     lines = P.segments(table(spark, sf, "documents"))
     vocab = demo_vocabulary(spark, sf)
-    return training_data.training_records(lines, vocab, 4, OPTIONS)
+    return record_columns(training_data.training_records(lines, vocab, 4, OPTIONS))
 
 
 # ---- evaluation --------------------------------------------------------------------------------
