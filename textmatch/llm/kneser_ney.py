@@ -101,15 +101,20 @@ def token_rows(pieces: list[Piece], starts: np.ndarray, hashes: np.ndarray, carr
     return number, np.stack([flat[index - lead + j] for j in range(order)], axis=1), carry
 
 
-def summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in the order of their hashes: (hash, words, count)."""
+def summed(words: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams in the order of their hashes: (hash, words, count); no counts mean ones.
+
+    Only the rows that stay are copied.
+    """
     h = gram_hash(words)
     order = np.argsort(h, kind="stable")
-    h, words, counts = h[order], words[order], counts[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)
-    return h[first], words[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
+    if counts is None:
+        n = np.diff(first, append=len(h)).astype(np.uint64)
+    else:
+        n = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    return h[first], words[order[first]], n
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -170,8 +175,9 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterat
 
     def flush():
         words = np.concatenate(held)
-        ones = np.ones(len(words), dtype=np.uint64)
-        h, w, c = summed(words, ones)
+        held.clear()
+        h, w, c = summed(words, None)
+        del words
         rows = list(_blocks(_GRAM, order, h, w, c, shards))
         h, w, c = summed(w[:, -1:], c)
         return _batch(rows + list(_blocks(_PLAIN, 1, h, w, c, shards)))
@@ -186,7 +192,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterat
             size += len(grams)
             if size >= _HOLD:
                 yield flush()
-                held, size = [], 0
+                size = 0
     if held:
         yield flush()
 
@@ -247,8 +253,7 @@ def _reduce(batches: Iterator[pa.RecordBatch], folder: str, order: int, shards:
         kinds = [int((c == i).sum()) for i in (1, 2, 3, 4)] + [int((c >= 3).sum()), int(c.sum()), len(c)]
         rows = [(_SUMMARY, level if kind == _GRAM else 0, shard, b"", np.array(kinds, dtype=np.int64).tobytes())]
         if kind == _GRAM and level > 1:
-            ones = np.ones(len(w), dtype=np.uint64)
-            sh, sw, sc = summed(w[:, 1:], ones)
+            sh, sw, sc = summed(w[:, 1:], None)
             rows += _blocks(_GRAM, level - 1, sh, sw, sc, shards)
             ch = gram_hash(w[:, :-1])
             by = np.argsort(ch, kind="stable")
