@@ -87,18 +87,24 @@ def test_batched_merges_equal_single_merges(spark):
     assert [r.token for r in got] == naive_training(counts, 70)
 
 
-def test_chunk_plan_covers_the_document():
+def test_chunk_plan_covers_the_document(spark):
     rng = random.Random(2)
-    for doc in range(200):
-        lens = [rng.randint(1, 30) for _ in range(rng.randint(1, 40))]
-        plan = P.chunk_plan(lens, 40, 42, 0, doc)
-        expected = 0
-        for start, a_end, end, is_random in plan:
-            assert start == expected and start < a_end <= end
-            assert end == len(lens) or sum(lens[start:end]) >= 40
-            assert sum(lens[start : end - 1]) < 40
-            assert is_random or a_end < end
-            expected = a_end if is_random else end
+    docs = {doc: [rng.randint(1, 30) for _ in range(rng.randint(1, 40) if doc else 3000)] for doc in range(200)}
+    lengths = spark.createDataFrame([(d, d, lens) for d, lens in docs.items()], "doc_id bigint, rank bigint, lens array<int>")
+    planned = P.plan_chunks(lengths, replace(DEFAULTS, max_seq_length=43, dupe_factor=2))
+    assert "Python" not in planned._jdf.queryExecution().toString()
+    plans = {}
+    for r in sorted(planned.collect(), key=lambda r: r.start):
+        plans.setdefault((r.round, r.doc_id), []).append(r)
+    assert len(plans) == 400
+    for (_, doc), plan in plans.items():
+        lens, expected = docs[doc], 0
+        for r in plan:
+            assert r.start == expected and r.start < r.a_end <= r.end
+            assert r.end == len(lens) or sum(lens[r.start : r.end]) >= r.target
+            assert sum(lens[r.start : r.end - 1]) < r.target
+            assert r.is_random_next or r.a_end < r.end
+            expected = r.a_end if r.is_random_next else r.end
         assert expected == len(lens)
 
 

@@ -6,8 +6,6 @@ partitioning or on a retried task, and plain SQL gives the same number.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, functions as F
 
 
@@ -24,12 +22,6 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
 
 
-def py_uniform(seed: int, *keys: object) -> float:
-    """The same number for use inside a task."""
-    text = "|".join(str(k) for k in (seed, *keys))
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2.0**32
-
-
 def integer(draw: Column, count: Column) -> Column:
     """Turn a uniform draw into 0 .. count-1."""
     return F.floor(draw * count).cast("bigint")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from ..options import DEFAULTS, OPENING_BORDERS, PARAGRAPH_SEPARATORS
+from .bind import let
 
 
 def delete_newlines(text: Column, newline: str = "") -> Column:
@@ -115,7 +116,7 @@ def paragraph_pieces(
     def pieces(sep: str) -> Column:
         return F.split(text, "\\Q" + sep + "\\E", -1)
 
-    tried = [F.when(F.size(pieces(s)) > min_paragraphs, pieces(s)) for s in separators[:-1]]
+    tried = [let(pieces(s), lambda p: F.when(F.size(p) > min_paragraphs, p)) for s in separators[:-1]]
     return F.coalesce(*tried, pieces(separators[-1]))
 
 

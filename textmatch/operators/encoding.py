@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..options import DEFAULTS
 from . import tokens as tok
 
+# Fixed value: what separates the two texts of a pair.
 PAIR_PATTERN = r"^(.*) \|\|\| (.*)$"
 
 

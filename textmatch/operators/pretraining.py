@@ -8,14 +8,12 @@ seed, the round, the document and the place, so a retried task repeats them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.bind import let
-from ..functions.draws import digest, integer, py_uniform, uniform
+from ..functions.draws import digest, integer, uniform
 from ..functions.text import trimmed
 from ..functions.vectors import pad
 from ..options import DEFAULTS, Options
@@ -23,9 +21,6 @@ from .encoding import framed, kept_lengths, type_ids
 from .positions import position_by_digest, position_by_id
 
 PAGE = 128  # segments per page
-PLAN_SCHEMA = (
-    "round int, doc_id bigint, rank bigint, start int, a_end int, end int, target int, is_random_next boolean"
-)
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,26 +54,41 @@ def target_length(seed: int, limit: int, short_prob: float) -> Column:
     return F.when(is_short, short).otherwise(limit).cast("int")
 
 
-def chunk_plan(
-    lens: Sequence[int], target: int, seed: int, round_no: int, doc_id: int
-) -> list[tuple[int, int, int, bool]]:
-    """Chunks of one document as (start, a_end, end, is_random_next), ends exclusive.
+def chunk_plan(lens: Column, target: Column, seed: int) -> Column:
+    """Chunks of a document as an array of (start, a_end, end, is_random_next), ends exclusive.
 
     A chunk runs until it holds ``target`` tokens. When its second half is replaced, the
-    next chunk begins with the segments not used; so each start depends on the last.
+    next chunk begins with the segments not used; so each start depends on the last, and
+    the walk goes over the segments, stopping where the next chunk starts.
     """
-    total = np.concatenate([[0], np.cumsum(lens)])
-    n, start, plan = len(lens), 0, []
-    while start < n:
-        end = min(int(np.searchsorted(total, total[start] + target)), n)
-        size = end - start
-        a_end = start + 1
-        if size >= 2:
-            a_end += int(py_uniform(seed, "a_end", round_no, doc_id, start) * (size - 1))
-        is_random = size == 1 or py_uniform(seed, "random_next", round_no, doc_id, start) < 0.5
-        plan.append((start, a_end, end, is_random))
-        start = a_end if is_random else end
-    return plan
+    chunk = "struct<start:int,a_end:int,end:int,is_random_next:boolean>"
+    first = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{chunk}>").alias("plan"))
+
+    def taken(i: Column) -> Column:
+        def add(state: Column, n: Column) -> Column:
+            more = F.struct((state["sum"] + n).alias("sum"), (state["n"] + 1).alias("n"))
+            return F.when(state["sum"] >= target, state).otherwise(more)
+
+        # A segment has a token or more, so ``target`` segments are enough.
+        none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+        return F.aggregate(F.slice(lens, i + 1, target), none, add)["n"]
+
+    def step(state: Column, i: Column) -> Column:
+        def close(size: Column) -> Column:
+            more = integer(uniform(seed, F.lit("a_end"), "round", "doc_id", i), size - 1).cast("int")
+            a_end = i + 1 + F.when(size >= 2, more).otherwise(0)
+            is_random = (size == 1) | (uniform(seed, F.lit("random_next"), "round", "doc_id", i) < 0.5)
+            return let(F.struct(a_end.alias("a_end"), is_random.alias("random")), lambda d: F.struct(
+                F.when(d["random"], d["a_end"]).otherwise(i + size).alias("next"),
+                F.concat(state["plan"], F.array(F.struct(
+                    i.alias("start"), d["a_end"].alias("a_end"), (i + size).alias("end"), d["random"].alias("is_random_next")
+                ))).alias("plan"),
+            ))
+
+        return F.when(i == state["next"], let(taken(i), close)).otherwise(state)
+
+    places = F.when(F.size(lens) > 0, F.sequence(F.lit(0), F.size(lens) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, first, step)["plan"]
 
 
 def plan_chunks(lengths: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -87,20 +97,10 @@ def plan_chunks(lengths: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     wanted = rounds(lengths, options.dupe_factor).withColumn(
         "target", target_length(options.seed, limit, options.short_seq_prob)
     )
-    seed = options.seed
-
-    names = ["round", "doc_id", "rank", "start", "a_end", "end", "target", "is_random_next"]
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (r.round, r.doc_id, r.rank, start, a_end, end, r.target, is_random)
-                for r in batch.itertuples(index=False)
-                for start, a_end, end, is_random in chunk_plan(r.lens, r.target, seed, r.round, r.doc_id)
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return wanted.select("round", "doc_id", "rank", "lens", "target").mapInPandas(plan, PLAN_SCHEMA)
+    plan = F.inline(chunk_plan(F.col("lens"), F.col("target"), options.seed))
+    return wanted.select("round", "doc_id", "rank", "target", plan).select(
+        "round", "doc_id", "rank", "start", "a_end", "end", "target", "is_random_next"
+    )
 
 
 def ranked_documents(lengths: DataFrame, seed: int) -> DataFrame:

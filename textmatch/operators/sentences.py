@@ -52,4 +52,4 @@ def clean_texts(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def not_done(docs: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents whose key is not in the output yet."""
-    return docs.join(done.select(key).distinct(), key, "left_anti")
+    return docs.join(done.select(key), key, "left_anti")
