@@ -3,10 +3,10 @@
 A page is read into a tree of elements. Every element gets features: its tag, words of
 its class, id and role attributes by hash, depth, share of link text, density of text in
 its subtree, and figures of its parent and siblings. Gradient-boosted trees give the
-log-odds that an element belongs to the main text. Decoding is hierarchical: an element
-can be kept only if its parent is, and the kept elements are those with the highest total
-log-odds under that rule, weighed by the text that each holds itself; so no element is
-kept inside a dropped one, and an ancestor is kept for the sake of what lies in it.
+probability that an element is kept, given that its parent is; nothing is kept inside a
+dropped element. Decoding is hierarchical: of all choices without such contradictions it
+takes the most probable one for the whole tree, so an ancestor's choice weighs the best
+choices of all that lies in it.
 
 The text of the kept elements is decoded, white space inside a block becomes one space,
 and blocks are joined in page order by one space.
@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import digest
 
-SAMPLE = 200
+SAMPLE = 250
 SEED = 42
-TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
+TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
 _ATTRIBUTES = 64  # hashed attribute words
 
 # Fixed values of HTML.
@@ -164,8 +164,8 @@ _SECTION_AT = _WORDS_AT + _ATTRIBUTES
 WIDTH = _SECTION_AT + len(_SECTIONS) + 1
 
 
-def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """(features as small whole numbers, characters of text of its own) of each element."""
+def features(page: Page) -> np.ndarray:
+    """Features of each element, as small whole numbers."""
     n, tags, parents = len(page.tags), page.tags, page.parents
     own_text, own_marks = [0.0] * n, [0.0] * n
     for element, text in page.texts:
@@ -208,7 +208,7 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for i, words in enumerate(page.words):
         for word in words:
             x[i, _WORDS_AT + crc32(word.encode()) % _ATTRIBUTES] = 1
-    return x, own
+    return x
 
 
 # ---- boosted trees ---------------------------------------------------------------
@@ -273,17 +273,18 @@ def log_odds(trees: Trees, x: np.ndarray) -> np.ndarray:
 # ---- decoding --------------------------------------------------------------------
 
 
-def keep(parents: list[int], odds: np.ndarray, own: np.ndarray) -> list[bool]:
-    """Elements to keep: never one without its parent, at the highest total."""
+def keep(parents: list[int], odds: np.ndarray) -> list[bool]:
+    """The most probable elements to keep, never one without its parent.
+
+    ``odds`` are log-odds of keeping an element whose parent is kept. The root stays.
+    """
     n = len(parents)
-    gain = odds * (1.0 + np.log1p(own))
-    best = gain.tolist()
-    for i in range(n - 1, 0, -1):
-        if best[i] > 0:
-            best[parents[i]] += best[i]
+    stay, go = (-np.logaddexp(0, -odds)).tolist(), (-np.logaddexp(0, odds)).tolist()
+    for i in range(n - 1, 0, -1):  # a kept element carries the best of its children
+        stay[parents[i]] += max(stay[i], go[i])
     kept = [True] * n
     for i in range(1, n):
-        kept[i] = kept[parents[i]] and best[i] > 0
+        kept[i] = kept[parents[i]] and stay[i] >= go[i]
     return kept
 
 
@@ -309,10 +310,10 @@ def extract(trees: Trees, pages: list[str | None]) -> list[str]:
     for i in range(0, len(pages), 64):
         read_pages = [read(p) for p in pages[i : i + 64]]
         made = [features(p) for p in read_pages]
-        odds = log_odds(trees, np.concatenate([x for x, _ in made]))
+        odds = log_odds(trees, np.concatenate(made))
         at = 0
-        for page, (x, own) in zip(read_pages, made):
-            out.append(main_text(page, keep(page.parents, odds[at : at + len(x)], own)))
+        for page, x in zip(read_pages, made):
+            out.append(main_text(page, keep(page.parents, odds[at : at + len(x)])))
             at += len(x)
     return out
 
@@ -332,6 +333,13 @@ def labels(page: Page) -> np.ndarray:
     return out
 
 
+def examples(page: Page) -> np.ndarray:
+    """Features and label of the elements whose parent is kept: what the trees decide."""
+    y = labels(page)
+    decided = y[np.maximum(page.parents, 0)] > 0
+    return np.column_stack([features(page), y.astype(np.uint8)])[decided]
+
+
 def varied(page: str, draw: random.Random) -> str:
     """The page with more kinds of boilerplate around and inside its article."""
     words = re.findall(r"[^\W\d_]{2,}", re.sub(r"<[^>]*>", " ", page))[:400] or ["text"]
@@ -360,6 +368,8 @@ def varied(page: str, draw: random.Random) -> str:
         return page
     inner_at = page.find(">", open_at) + 1
     inside = page[inner_at:close_at]
+    if draw.random() < 0.4:  # a short article, beside which the rest looks large
+        inside = f"<p>{say(draw.randint(1, 12))}</p>" * draw.randint(1, 2)
     if draw.random() < 0.5:  # an article by another name
         start, end = draw.choice((
             ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="article-body">', "</div>"),
@@ -392,16 +402,13 @@ def learn(pages: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Trees:
             for page_id, text in zip(batch["page_id"], batch["html"]):
                 draw = random.Random(seed * 1_000_003 + int(page_id))
                 for variant in (text or "", varied(text or "", draw), varied(text or "", draw)):
-                    page = read(variant)
-                    x, _ = features(page)
-                    rows.append((int(page_id), len(x), np.column_stack([x, labels(page).astype(np.uint8)]).tobytes()))
-            yield pd.DataFrame(rows, columns=["page_id", "n", "x"])
+                    rows.append((int(page_id), examples(read(variant)).tobytes()))
+            yield pd.DataFrame(rows, columns=["page_id", "x"])
 
-    got = sorted((r["page_id"], r["x"]) for r in texts.mapInPandas(run, "page_id long, n int, x binary").collect())
+    got = sorted((r["page_id"], r["x"]) for r in texts.mapInPandas(run, "page_id long, x binary").collect())
     if not got:
         return boost(np.zeros((0, WIDTH), dtype=np.uint8), np.zeros(0), trees=0)
     rows = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, WIDTH + 1) for _, x in got])
-    # Equal rows once, with their number as weight, would change nothing; the table is small.
     return boost(rows[:, :-1], rows[:, -1].astype(float))
 
 
