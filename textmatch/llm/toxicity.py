@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import digest
-from .words import Piece, buffers, hash_slices, hash_word, lower, mix
+from ..session import written
+from .words import buffers, hash_slices, hash_word, lower, mix
 
 SAMPLE = 20_000
 VOCABULARY = 4096  # at most; a quarter of the labelled rows where those are fewer
@@ -111,27 +112,11 @@ def predict(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, extra: np.ndarray
     return _sigmoid(w[0] + np.bincount(rows, w[1 + cols], minlength=n) + extra @ w[1 + size :])
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
-    """Fit the chain. ``labels`` has a column per category."""
-    n = len(features)
+def train(words: np.ndarray, features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
+    """Fit the chain. ``features`` has places in ``words``, ``labels`` a column per category."""
+    n, size = len(features), len(words)
     rows = np.repeat(np.arange(n), [len(f) for f in features])
-    hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *features])
-    words, cols = np.unique(hashes, return_inverse=True)
-    toxic = labels[:, -1] if n else np.zeros(0)
-    if not n or toxic.min() == toxic.max():
-        empty = np.zeros(0, dtype=np.uint64)
-        return Chain(empty, [np.concatenate(([-30.0], np.zeros(i))) for i in range(len(CATEGORIES))])
-    texts = np.bincount(cols)
-    hits = np.bincount(cols, toxic[rows])
-    rate = toxic.mean()
-    score = np.abs(hits - rate * texts) / np.sqrt(texts * rate * (1 - rate))
-    score[texts < MIN_TEXTS] = 0
-    chosen = np.sort(np.argsort(-score, kind="stable")[: min(VOCABULARY, max(64, n // 4))])
-    chosen = chosen[score[chosen] > 0]
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    known = place[cols] >= 0
-    rows, cols, size = rows[known], place[cols[known]], len(chosen)
+    cols = np.concatenate([np.zeros(0, dtype=np.int64), *features]).astype(np.int64)
     extra, weights = np.zeros((n, 0)), []
     for c in range(len(CATEGORIES)):
         y = labels[:, c].astype(float)
@@ -144,11 +129,42 @@ def train(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
             held[out] = predict(w, rows, cols, extra, n, size)[out]
         weights.append(fit(rows, cols, extra, y, size))
         extra = np.column_stack([extra, held])
-    return Chain(words[chosen], weights)
+    return Chain(words, weights)
+
+
+def telling_words(labelled: DataFrame) -> np.ndarray:
+    """Hashes of the words whose share of toxic texts stands out most, sorted.
+
+    ``labelled`` has toxic and words; only the chosen hashes come to the driver.
+    """
+    n, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
+    if not n or toxic in (0, n):
+        return np.zeros(0, dtype=np.uint64)
+
+    def count(batches):
+        for batch in batches:
+            each = [np.frombuffer(w, dtype=np.int64) for w in batch["words"]]
+            word, place = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *each]), return_inverse=True)
+            hit = np.repeat(batch["toxic"].to_numpy(), [len(e) for e in each])
+            yield pd.DataFrame({
+                "word": word, "texts": np.bincount(place, minlength=len(word)),
+                "hits": np.bincount(place, hit, minlength=len(word)).astype(np.int64),
+            })
+
+    counts = labelled.select("toxic", "words").mapInPandas(count, "word long, texts long, hits long")
+    counts = counts.groupBy("word").agg(F.sum("texts").alias("texts"), F.sum("hits").alias("hits"))
+    rate = F.lit(toxic / n)
+    score = F.abs(F.col("hits") - rate * F.col("texts")) / F.sqrt(F.col("texts") * rate * (1 - rate))
+    best = counts.filter(F.col("texts") >= MIN_TEXTS).withColumn("score", score).filter("score > 0")
+    best = best.orderBy(F.desc("score"), "word").limit(min(VOCABULARY, max(64, n // 4)))
+    return np.sort(np.array([r["word"] for r in best.select("word").collect()], dtype=np.int64).view(np.uint64))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Chain:
-    """Train on at most ``sample`` labelled documents; the driver gets their word hashes only."""
+    """Train on at most ``sample`` labelled documents.
+
+    The driver gets the chosen words and, per document, which of them it holds.
+    """
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.withColumn("_order", digest(seed, "doc_id")).orderBy("_order", "doc_id").limit(sample)
     known = F.broadcast(known.select(F.col("doc_id").alias("_id"), "_toxic"))  # at most ``sample`` rows
@@ -159,24 +175,34 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
         for batch in batches:
             numbers, hashes = distinct_rows(*text_words(batch["text"]))
             cuts = np.searchsorted(numbers, np.arange(len(batch) + 1))
-            out = []
-            for i in range(len(batch)):
-                own = hashes[cuts[i] : cuts[i + 1]]
-                holds = [bool(g.intersection(own.tolist())) for g in terms]
-                out.append((holds, own.tobytes()))
+            own = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "toxic": batch["_toxic"],
-                "holds": [h for h, _ in out], "words": [w for _, w in out],
+                "doc_id": batch["doc_id"], "toxic": (batch["_toxic"] > 0).astype(int),
+                "holds": [[bool(g.intersection(o.tolist())) for g in terms] for o in own], "words": [o.tobytes() for o in own],
             })
 
-    got = rows.mapInPandas(extract, "doc_id long, toxic int, holds array<boolean>, words binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["words"]))
-    features = [np.frombuffer(r["words"], dtype=np.uint64) for r in got]
-    toxic = np.array([int(r["toxic"] > 0) for r in got])
-    holds = np.array([r["holds"] for r in got], dtype=int).reshape(len(got), len(TERMS))
-    y = np.column_stack([holds * toxic[:, None], toxic]) if got else np.zeros((0, len(CATEGORIES)))
+    labelled = written(rows.mapInPandas(extract, "doc_id long, toxic int, holds array<boolean>, words binary"), "labelled")
+    words = telling_words(labelled)
+    if not len(words):  # labels of one kind, or no word that tells them apart
+        return Chain(words, [np.concatenate(([-30.0], np.zeros(i))) for i in range(len(CATEGORIES))])
+
+    def locate(batches):
+        for batch in batches:
+            places = []
+            for w in batch["words"]:
+                own = np.frombuffer(w, dtype=np.uint64)
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                places.append(at[words[at] == own].astype(np.uint16).tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "holds": batch["holds"], "places": places})
+
+    got = labelled.mapInPandas(locate, "doc_id long, toxic int, holds array<boolean>, places binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["places"]))
+    toxic = np.array([r["toxic"] for r in got])
+    holds = np.array([r["holds"] for r in got], dtype=int)
     ids = np.array([r["doc_id"] for r in got], dtype=np.int64).view(np.uint64)
-    return train(features, y, (mix(ids) % np.uint64(FOLDS)).astype(int))
+    features = [np.frombuffer(r["places"], dtype=np.uint16) for r in got]
+    y = np.column_stack([holds * toxic[:, None], toxic])
+    return train(words, features, y, (mix(ids) % np.uint64(FOLDS)).astype(int))
 
 
 # ---- scoring -------------------------------------------------------------------
