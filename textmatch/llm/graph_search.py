@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import written
 
 SHARD = 4096
-DEGREE = 28
-BEAM = 64  # while building
-SEARCH_BEAM = 96
+DEGREE = 36
+MIN_IN = 8  # edges that lead to a node, at least
+EXTRA = 16  # slots of a node for such edges
+BEAM = 96  # while building
+SEARCH_BEAM = 128
 ALPHA = 1.2
 BATCH = 512
 QUERY_BLOCK = 256
@@ -97,7 +99,8 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degre
     own = _distances(x, candidates, x[nodes])
     order = np.argsort(own, axis=1, kind="stable")
     candidates, own = np.take_along_axis(candidates, order, 1), np.take_along_axis(own, order, 1)
-    points = x[np.maximum(candidates, 0)]
+    # Seen from the node itself: in a tight cluster, differences of squares far from it cancel.
+    points = x[np.maximum(candidates, 0)] - x[nodes][:, None, :]
     square = np.einsum("nmd,nmd->nm", points, points)
     between = square[:, :, None] + square[:, None, :] - 2 * np.matmul(points, points.transpose(0, 2, 1))
     alive = np.isfinite(own)
@@ -139,7 +142,10 @@ def _add_reverse(x: np.ndarray, edges: np.ndarray, nodes: np.ndarray, degree: in
         at += len(take)
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, int]:
+def build(
+    x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = SEED,
+    min_in: int = MIN_IN, extra: int = EXTRA,
+) -> tuple[np.ndarray, int]:
     """(neighbours of each node, entry node) for vectors in single precision."""
     n = len(x)
     rng = np.random.default_rng(seed)
@@ -156,7 +162,30 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
             lists = np.concatenate([found, edges[nodes]], axis=1)
             edges[nodes] = robust_prune(x, nodes, lists, degree, turn)
             _add_reverse(x, edges, nodes, degree, turn)
-    return edges.astype(np.int32), entry
+    return reachable(edges, min_in, extra).astype(np.int32), entry
+
+
+def reachable(edges: np.ndarray, min_in: int, extra: int) -> np.ndarray:
+    """Edges with ``extra`` further slots, so that nodes that few point at are found, too.
+
+    In a dense crowd of near copies pruned lists name the same central nodes, and those at
+    the rim are in no list. A node with fewer than ``min_in`` edges to it gets them from the
+    nearest of its own neighbours with a slot to spare.
+    """
+    n = len(edges)
+    more = np.full((n, extra), -1, dtype=edges.dtype)
+    used = np.zeros(n, dtype=np.int64)
+    into = np.bincount(edges[edges >= 0], minlength=n)
+    for node in np.flatnonzero(into < min_in):
+        need = min_in - into[node]
+        for near in edges[node]:
+            if need <= 0:
+                break
+            if near >= 0 and used[near] < extra and node not in edges[near]:
+                more[near, used[near]] = node
+                used[near] += 1
+                need -= 1
+    return np.concatenate([edges, more], axis=1)
 
 
 # ---- tables ----------------------------------------------------------------------
