@@ -212,20 +212,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     one round at most.
     """
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    def smallest(e: DataFrame) -> DataFrame:
+        return written(e.groupBy("a").agg(F.min("b").alias("m")), name)
 
+    # The smallest neighbours are written before they are joined back: a node that most
+    # others meet is then a crowded key of a plain join, which adaptive execution splits.
     edges = written(edges.filter(F.col("a") != F.col("b")).distinct(), name)
     seen = None
     while True:
-        every = both(edges)
-        large = every.join(least(every), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter(F.col("a") != F.col("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
+        every = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = every.join(smallest(every), "a").filter(F.col("b") > F.col("a"))
+        down = written(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), name)
+        small = down.join(smallest(down), "a")
         small = small.select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))
         )).alias("e")).select("e.*").filter(F.col("a") != F.col("b"))
