@@ -288,7 +288,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **se
     It is the row with the smallest id (null last), then the smallest text digest; of
     rows that agree in both, the one with the smallest hash of all columns.
     """
-    found = written(near_duplicates(docs, doc_id, text, **settings), "near-duplicates")
+    return first_rows(docs, written(near_duplicates(docs, doc_id, text, **settings), "near-duplicates"), doc_id, text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stay, given doc_id, digest and root of every row."""
     identity = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     best = found.groupBy("root").agg(F.min(identity).alias("best"))
     lost = found.join(best, "root").filter(~identity.eqNullSafe(F.col("best")))
