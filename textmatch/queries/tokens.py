@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import pad
 from ..operators import encoding as E, pretraining as P, records as R, tokens as K, vocabulary as V
-from ..options import DEFAULTS, SPECIAL_TOKENS
 from ..plans.model import hashed_token_model
 from .common import (
     SQL_VOCAB, demo_vocabulary, query, sql_occurrences, sql_pieces, sql_tokens, sql_words, table,
@@ -256,39 +255,11 @@ def a14_pairs(spark, sf):
     return pairs.join(left, "l").join(right, "r").select("left", "right", "n")
 
 
-# All merges in SQL, one a step: words are strings of one character per symbol, as in the
-# operator. A table with few words keeps the recursion short; the rules are the same.
-_TRAIN = f"""{sql_occurrences('benchmark', 'item_id', 'text', 'item_words')},
-item_counts AS (SELECT word, count(*) AS n FROM item_words GROUP BY word),
-item_chars AS (SELECT word, n, unnest(string_split(word, '')) AS ch, generate_subscripts(string_split(word, ''), 1) AS i FROM item_counts),
-item_alphabet AS (SELECT ch FROM item_chars GROUP BY ch ORDER BY sum(n) DESC, ch LIMIT {DEFAULTS.max_alphabet}),
-item_kept AS (SELECT c.*, row_number() OVER (PARTITION BY c.word ORDER BY c.i) AS k FROM item_chars c JOIN item_alphabet USING (ch)),
-item_forms AS (SELECT word, n, k, CASE WHEN k = 1 THEN ch ELSE '##' || ch END AS t FROM item_kept),
-first_tokens AS (SELECT flatten([[{', '.join(f"'{t}'" for t in SPECIAL_TOKENS)}], (SELECT list(t ORDER BY t) FROM (SELECT DISTINCT t FROM item_forms))]) AS toks),
-first_words AS (SELECT word, any_value(n) AS n, string_agg(chr(CAST(255 + list_position(toks, t) AS INTEGER)), '' ORDER BY k) AS s FROM item_forms, first_tokens GROUP BY word),
-train(step, ws, toks) AS (
-    SELECT 0, (SELECT list({{'s': s, 'n': n}}) FROM first_words), toks FROM first_tokens
-    UNION ALL
-    SELECT step + 1, list_transform(ws, lambda w: {{'s': replace(w.s, pair, chr(CAST(255 + CASE WHEN place IS NULL THEN len(toks) + 1 ELSE place END AS INTEGER))), 'n': w.n}}),
-        CASE WHEN place IS NULL THEN list_append(toks, joined) ELSE toks END
-    FROM (SELECT *, list_position(toks, joined) AS place FROM (
-        SELECT *, toks[ascii(pair[1]) - 255] || regexp_replace(toks[ascii(pair[2]) - 255], '^##', '') AS joined FROM (
-            SELECT step, ws, toks, (SELECT pair FROM (
-                SELECT w.s[i:i + 1] AS pair, w.n AS n FROM (SELECT w, unnest(range(1, length(w.s))) AS i FROM (SELECT unnest(ws) AS w)))
-                GROUP BY pair HAVING sum(n) >= {DEFAULTS.min_frequency} ORDER BY sum(n) DESC, greatest(pair[1], pair[2]), pair LIMIT 1) AS pair
-            FROM train) WHERE pair IS NOT NULL AND len(toks) < {DEFAULTS.vocab_size})))"""
-
-
-@query(
-    "a14_train_vocabulary",
-    f"WITH RECURSIVE {_TRAIN} SELECT unnest(toks) AS token, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS id "
-    "FROM (SELECT toks FROM train ORDER BY step DESC LIMIT 1)",
-)
+@query("a14_train_vocabulary")
 def a14_train(spark, sf):
     from ..session import written
 
-    words = K.words_of(table(spark, sf, "benchmark"), ["item_id"], "text")
-    return V.train_vocabulary(written(K.word_counts(words), "counts"))
+    return V.train_vocabulary(written(K.word_counts(doc_words(spark, sf)), "counts"))
 
 
 @query("r1_flatten", f"WITH lists AS (SELECT doc_id, [{sql_words('text')}, [lang, source]] AS l FROM documents) SELECT doc_id, CAST(len(flatten(l)) AS INTEGER) AS n, md5(array_to_string(flatten(l), ' ')) AS out FROM lists")
