@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textmatch.llm import contain, mixing, near_copies, secret_tags, toxicity
+from textmatch.llm import contain, mixing, secret_tags, simhash, toxicity
 from textmatch.session import written
 
-# Near copies are texts whose five-word shingles are similar by 0.8. The first search for
-# them takes six fingerprints of 64 bits, one of which two texts must share up to 4 bits;
-# what it misses is found by prefixes, and every link is verified.
-NEAR = {"n": 1, "distinct": True, "seeds": 6, "max_bits": 4}
+# Shingles of four words, links at four or fewer differing bits: those of the SimHash query.
+NEAR = {"n": 4, "max_bits": 4}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that verified links of similarity 0.8 connect."""
-    return near_copies.keep_first(docs, **NEAR)
+    """One document of each group that links between fingerprints connect."""
+    return simhash.keep_first(docs, **NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
