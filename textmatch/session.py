@@ -32,11 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
     """This application's folder: below the cluster's shared one, else below the warehouse.
 
     It holds the tables an application writes for itself and goes when the driver ends.
+    Several machines need a shared folder: a local warehouse is refused there.
     """
     context = spark.sparkContext
     if context.applicationId not in _folders:
         top = spark.conf.get(SHARED_DIR_KEY, None) or context.getConf().get(SHARED_DIR_KEY)
-        top = top or spark.conf.get("spark.sql.warehouse.dir")
+        if top is None:
+            top = spark.conf.get("spark.sql.warehouse.dir")
+            local = top.startswith(("file:", "/")) and not context.master.startswith("local")
+            if local:
+                raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all machines share; {top} is local")
         folder = f"{top.rstrip('/')}/textmatch-{context.applicationId}"
         _folders[context.applicationId] = folder
         atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), folder)
