@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from textmatch.llm import mixing, secret_tags, toxicity
 
-from .cases import DOC_SCHEMA, documents, document_rows, say, words
+from .cases import DOC_SCHEMA, documents, say, words
+from .test_simhash import plain_components, plain_fingerprint
 
 ITEM = say(random.Random(11), 40, 5000)
 
@@ -50,9 +51,14 @@ def test_every_stage_and_the_whole(spark, tmp_path):
             assert now.columns == docs.columns
     ids = lambda *groups: {r[0] for g in groups for r in g}
     assert kept["toxicity"] == ids(clean, copies, near, leaks, secrets)
-    assert kept["simhash_near_dedup"] == ids(clean, leaks, secrets)
-    assert kept["benchmark_decontamination"] == ids(clean, secrets)
-    assert kept["secret_scan"] == ids(clean, secrets) == kept["source_mix"]
+    # One document of each group that all pairs of fingerprints form.
+    rest = sorted([*clean, *copies, *near, *leaks, *secrets])
+    roots = plain_components([plain_fingerprint(r[1]) for r in rest])
+    first = {rest[root][0] for root in roots}
+    assert kept["simhash_near_dedup"] == first and not first & ids(copies)
+    assert len(first & ids(near)) < len(near) and first >= ids(clean)
+    assert kept["benchmark_decontamination"] == first - ids(leaks)
+    assert kept["secret_scan"] == first - ids(leaks) == kept["source_mix"]
     texts = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/stage3").collect()}
     assert all(texts[r[0]]["text"] == r[1] and texts[r[0]]["n_chars"] == r[4] for r in clean)
     for r in secrets:

@@ -211,7 +211,7 @@ def originals(records: DataFrame, *columns: str) -> DataFrame:
         *[F.col(c).alias(f"_{c}") for c in columns],
     ).dropDuplicates(["refers_to", "payload_digest"])
     joined = records.join(responses, ["refers_to", "payload_digest"], "left")
-    lost = F.raise_error(F.concat(F.lit("no response for page "), F.col("page_id").cast("string")))
+    lost = F.raise_error(F.concat(F.lit("no response for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
     is_response = F.col("record_type") == "response"
     return joined.select(
         "page_id", "record_type", "url", "payload_digest", "refers_to",
