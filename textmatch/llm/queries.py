@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contain, graph_search, html_trees, kneser_ney, mixing, secret_tags, simhash, toxicity, warc
+from . import chat, contain, graph_search, html_trees, kneser_ney, lexical, mixing, secret_tags, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -200,3 +200,28 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "toxicity.*", (F.col("toxicity.toxic") >= toxicity.THRESHOLD).alias("rejected"))
+
+
+# ---- 11: ranked lexical search ---------------------------------------------------------------
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_TERM}')"
+
+SQL_RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ts FROM documents),
+total AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM docs WHERE len(ts) > 0),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ts) AS term FROM docs)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), total),
+lengths AS (SELECT row, doc_id, 100 - 90 + (90 * len(ts) * n) // l AS m FROM docs, total WHERE len(ts) > 0),
+scores AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM wanted JOIN counted USING (term) JOIN weights USING (term) JOIN lengths USING (row) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op11_lexical_tiles", SQL_RANKED)
+def lexical_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

@@ -107,9 +107,9 @@ def buffers(texts: Iterable[bytes], limit: int = LIMIT) -> Iterator[tuple[np.nda
         yield flush()
 
 
-def word_slices(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a buffer."""
-    inside = np.concatenate(([False], ~_SPACE[buffer], [False]))
+def word_slices(buffer: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a buffer; ``outside`` tells which bytes are in none."""
+    inside = np.concatenate(([False], ~outside[buffer], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[0::2], edges[1::2]
 
