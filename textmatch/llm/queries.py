@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contain, graph_search, html_trees, kneser_ney, lexical, mixing, secret_tags, simhash, toxicity, warc
+from . import chat, contain, graph_search, html_trees, kneser_ney, lexical, mixing, repair, secret_tags, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -225,3 +225,59 @@ FROM scores WHERE score > 0 QUALIFY rank <= 10"""
 @query("op11_lexical_tiles", SQL_RANKED)
 def lexical_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+# ---- 12: repair of conversations ---------------------------------------------------------------
+
+
+def _edited(x: str, cost: str, edit: str, text: str = "''", when: str = "true") -> str:
+    """A cheapest repair so far (cost, edits, text), one edit further; null where there is none."""
+    return f"CASE WHEN {x} IS NOT NULL AND {when} THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}', 't': {x}.t || {text}}} END"
+
+
+def _sql_repair() -> str:
+    """Rows are taken one by one; s0 to s3 are the cheapest repairs by place in the pattern."""
+    due = lambda x, role: _edited(x, "2", "I", f"'{role}:' || chr(10)")
+    gone = lambda x: _edited(x, "3", "D")
+    kept = lambda x, initial: _edited(x, "cut", "K", "role || ':' || text || chr(10)", f"NOT must AND left(role, 1) = '{initial}'")
+    turned = lambda x, role: _edited(x, "2 + cut", "R", f"'{role}:' || text || chr(10)", "NOT must")
+    g = [
+        gone("s0"), f"least({gone('s1')}, {kept('s0', 's')})",
+        f"least({gone('s2')}, {', '.join(kept(s, 'u') + ', ' + turned(s, 'user') for s in ('s0', 's1', 's3'))})",
+        f"least({gone('s3')}, {kept('s2', 'a')}, {turned('s2', 'assistant')})",
+    ]
+    crc = (
+        "xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte: "
+        "list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    )
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS draw FROM (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+damaged AS (SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i FROM damaged),
+judged AS (SELECT *, right(rtrim(text, {blanks}), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+faults AS (SELECT *, last = '' AS blank, last <> '' AND again AS duplicate, last NOT IN ('', '.', '!', '?') AND NOT again AS truncated FROM judged),
+coded AS (SELECT *, blank OR duplicate AS must, CAST(truncated AS BIGINT) AS cut FROM faults),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, x AS s0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS s1, {due('x', 'user')} AS s2,
+    {{'c': CAST(4 AS BIGINT), 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s3
+    FROM (SELECT DISTINCT conv_id, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS x FROM conversations)
+  UNION ALL SELECT conv_id, i, s0, s1, least(s2, {due('s3', 'user')}) AS s2, s3 FROM (
+    SELECT *  REPLACE (least(s3, {due('s2', 'assistant')}) AS s3) FROM (
+    SELECT *  REPLACE (least(s2, {due('s0', 'user')}, {due('s1', 'user')}, {due('s3', 'user')}) AS s2) FROM (
+    SELECT w.conv_id, r.i, {', '.join(f'{e} AS n{k}' for k, e in enumerate(g))}
+    FROM walk w JOIN coded r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1) t(conv_id, i, s0, s1, s2, s3)))),
+ended AS (SELECT conv_id, least(s0, s3) AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM coded GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(left(best.t, greatest(length(best.t) - 1, 0))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_block_repair", _sql_repair())
+def block_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
