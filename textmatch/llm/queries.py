@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contain, graph_search, html_trees, kneser_ney, lexical, mixing, repair, secret_tags, simhash, toxicity, warc
+from . import chat, contain, graph_search, html_trees, kneser_ney, lexical, mixing, perplexity_rules, repair, secret_tags, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -281,3 +281,12 @@ FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
 @query("op12_block_repair", _sql_repair())
 def block_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+# ---- 13: quality rules -------------------------------------------------------------------------
+
+
+@query("op13_perplexity_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", *perplexity_rules.COUNTS, "cost", "base_failed", "kept")
