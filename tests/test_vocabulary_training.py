@@ -1,8 +1,11 @@
 """Vocabulary training on all documents; single merges in SQL on a small table."""
 
 import random
+from dataclasses import replace
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textmatch.operators import tokens as K, vocabulary as V
@@ -62,3 +65,57 @@ def test_query_learns_from_documents(spark, tmp_path):
     often = K.word_counts(K.words_of(docs, ["doc_id"], "text")).filter(F.col("n") >= 2)
     assert {r["word"] for r in often.collect()} <= got
     assert "zzz" not in got
+
+
+def single_merges(counts, size):
+    """One merge after the other, in plain Python."""
+    tokens = list(SPECIAL_TOKENS) + sorted({c if i == 0 else "##" + c for w in counts for i, c in enumerate(w)})
+    at = {t: i for i, t in enumerate(tokens)}
+    words = [([at[c if i == 0 else "##" + c] for i, c in enumerate(w)], n) for w, n in counts.items()]
+    while len(tokens) < size:
+        pairs = {}
+        for ids, n in words:
+            for p in zip(ids, ids[1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        pairs = {p: n for p, n in pairs.items() if n >= DEFAULTS.min_frequency}
+        if not pairs:
+            break
+        pair = min(pairs, key=lambda p: (-pairs[p], max(p), p))
+        joined = V.join_symbols(tokens[pair[0]], tokens[pair[1]])
+        if joined not in at:
+            at[joined] = len(tokens)
+            tokens.append(joined)
+        for ids, _ in words:
+            i = 0
+            while i < len(ids) - 1:
+                if (ids[i], ids[i + 1]) == pair:
+                    ids[i : i + 2] = [at[joined]]
+                i += 1
+    return tokens
+
+
+@pytest.mark.parametrize("seed, letters, longest, size", [
+    (1, "ab", 12, 400), (2, "aaab", 20, 400), (3, "abcde", 9, 400), (4, "abcdefgh", 7, 90), (5, "ab", 30, 60),
+])
+def test_rounds_give_the_result_of_single_merges(spark, seed, letters, longest, size):
+    """Few letters: many ties, runs of one letter, and merges that give a token twice."""
+    draw = random.Random(seed)
+    counts = {"".join(draw.choice(letters) for _ in range(draw.randint(1, longest))): draw.randint(1, 6) for _ in range(60)}
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = V.train_vocabulary(table, replace(DEFAULTS, vocab_size=size), batch=draw.choice((3, 40, 10_000)))
+    assert [r["token"] for r in got.orderBy("id").collect()] == single_merges(counts, size)
+
+
+def test_counts_follow_from_changes(spark):
+    """Counts kept up by changes equal counts of the merged words."""
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 9))) for _ in range(200)]
+    table = spark.createDataFrame([(w, draw.randint(1, 9)) for w in words], "word string, n long")
+    ids = V._as_ids(V.first_symbols(table)[0])
+    before = {r["pair"]: r["n"] for r in V._totals(V._pair_changes(ids, None), "pairs").collect()}
+    a, b = sorted(before, key=before.get)[-2:]
+    first = (np.array([a]), np.array([500]))
+    rounds = [first, (np.array(sorted({500 << 32 | b & 0xFFFFFFFF, b >> 32 << 32 | 500})), np.array([501, 502]))]
+    changed = V._totals(V._pair_changes(ids, None).unionByName(V._pair_changes(ids, rounds)), "pairs")
+    whole = V._totals(V._pair_changes(V._merged(ids, rounds), None), "pairs")
+    assert sorted(map(tuple, changed.collect())) == sorted(map(tuple, whole.collect()))
