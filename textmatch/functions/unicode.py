@@ -119,9 +119,22 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \x{2028}\x{2029}]+"), lambda w: w != "")
 
 
+_SIGNS = PUNCTUATION[1:-1]
+_WORD_OR_SIGN = rf"[^ \x{{2028}}\x{{2029}}{_SIGNS}]+|[{_SIGNS}]"
+_ASCII_WORD_OR_SIGN = r"[a-zA-Z0-9]+|[!-/:-@\[-`{-~]"
+_ASCII_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
 def basic_tokens(text: Column, lower: bool = True) -> Column:
-    """Words and single punctuation characters of a text."""
+    """Words and single punctuation characters of a text.
+
+    An ASCII text has no ideographs, accents or Unicode blanks, so one pattern finds its
+    words; most have no control characters to drop either.
+    """
+    plain = F.when(F.rlike(text, F.lit(_ASCII_CONTROLS)), F.regexp_replace(text, _ASCII_CONTROLS, "")).otherwise(text)
     spaced = space_ideographs(clean_characters(text))
     if lower:
-        spaced = strip_accents(F.lower(spaced))
-    return word_array(space_punctuation(spaced))
+        plain, spaced = F.lower(plain), strip_accents(F.lower(spaced))
+    found = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    is_ascii = ~F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+    return F.when(is_ascii, found(plain, _ASCII_WORD_OR_SIGN)).otherwise(found(spaced, _WORD_OR_SIGN))

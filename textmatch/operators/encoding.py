@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.unicode import basic_tokens
 from ..options import DEFAULTS
 from . import tokens as tok
 
@@ -99,9 +100,15 @@ def encode_texts(
     text: str = "sentence",
     length: int = DEFAULTS.max_seq_length,
 ) -> DataFrame:
-    """Texts or ``a ||| b`` pairs to model inputs; both sides share one regrouping."""
+    """Texts or ``a ||| b`` pairs to model inputs; no row is moved while the vocabulary fits."""
     keys = list(keys)
     pairs = split_pairs(texts, text)
+    if tok.fits(vocab):
+        both = pairs.select(*keys, *[
+            tok.pieces_of(basic_tokens(F.col(f"text_{side}")), vocab).alias(f"_{side}") for side in "ab"
+        ])
+        columns = [F.col(f"_{side}.{field}").alias(f"{name}_{side}") for side in "ab" for field, name in (("tokens", "tokens"), ("ids", "ids"))]
+        return model_inputs(both.select(*keys, *columns), vocab, keys, length)
     sides = pairs.select(
         *keys, F.posexplode(F.array("text_a", "text_b")).alias("side", "piece")
     ).filter((F.col("side") == 0) | F.col("piece").isNotNull())

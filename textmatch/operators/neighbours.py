@@ -3,6 +3,14 @@
 Vectors meet inside cells only, as block matrix products; a pair becomes a row when it
 passes the threshold and the block's best k. A cell with many vectors or many queries is
 cut to a grid of blocks of bounded size, so one crowded cell is spread over many tasks.
+
+A stored index cuts its cells to blocks of near vectors, each with a centre and the lowest
+score of a member to it. Queries meet these heads first; vectors of a block that cannot
+hold a hit are neither read nor moved, and a block meets only the queries that it can hit.
+
+Centres go to every task while they are few. Beyond ``MAX_CENTROID_BYTES`` they are searched
+like any corpus: they get coarse cells of their own, about a square root of their number,
+and a vector meets the centres of those coarse cells that can hold one of its closest.
 """
 
 from __future__ import annotations
@@ -19,9 +27,11 @@ from pyspark.sql.functions import arrow_udf
 from ..functions.vectors import SCORE_DIGITS, as_matrix, unit_rows
 from ..options import DEFAULTS
 from ..session import written
+from .skew import lookup_join
 
 BLOCK_ROWS = 4096  # vectors per side of one block product
-MAX_CENTROID_BYTES = 512 * 1024 * 1024
+MAX_CENTROID_BYTES = 64 * 1024 * 1024
+MAX_LISTED_CELLS = 4096  # cells that a partition filter names
 TILE_SCORES = 1 << 22  # scores to centres that a task holds at once
 _SLACK = 1e-4  # radians; covers float32 rounding of unit vectors
 
@@ -49,15 +59,26 @@ def train_centroids(
     return vectors.sparkSession.createDataFrame(rows, CENTROID_SCHEMA)
 
 
+def few(centroids: DataFrame) -> bool:
+    """Whether the centres can be handed to every task."""
+    n, size = centroids.agg(F.count("*"), F.sum(F.size("centroid")) * 8).first()
+    return n < 4 or size <= MAX_CENTROID_BYTES
+
+
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cell ids and centres for the tasks; refused when too large to hand to each."""
-    size = centroids.agg(F.sum(F.size("centroid")) * 8).first()[0] or 0
-    if size > MAX_CENTROID_BYTES:
-        raise ValueError(f"{size} bytes of centroids are too many for every task")
+    """Cell ids and centres of a table that is ``few``, for the tasks."""
     rows = centroids.orderBy("cell").collect()
     return np.array([r["cell"] for r in rows], np.int32), np.array([r["centroid"] for r in rows])
 
 
+def _coarse(centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Centres as vectors (_fine, embedding) in coarse cells, and the coarse centres."""
+    fine = centroids.select(F.col("cell").alias("_fine"), F.col("centroid").alias("embedding"))
+    clusters = max(1, round(fine.count() ** 0.5))
+    coarse = written(train_centroids(fine, clusters), "coarse-centres")
+    return written(assign_cells(fine, coarse), "coarse-cells"), coarse
+
+
 def _cells_udf(cells: np.ndarray, centres: np.ndarray, nprobe: int):
     """Per vector the ``nprobe`` closest cells with their scores, best first."""
 
@@ -83,13 +104,27 @@ def _cells_udf(cells: np.ndarray, centres: np.ndarray, nprobe: int):
     return closest
 
 
+def _closest(vectors: DataFrame, centroids: DataFrame, nprobe: int, embedding: str) -> DataFrame:
+    """Add ``_probe``, the ``nprobe`` closest cells of each vector with their scores, best first."""
+    if few(centroids):
+        return vectors.withColumn("_probe", _cells_udf(*centroid_matrix(centroids), nprobe)(F.col(embedding)))
+    fine, coarse = _coarse(centroids)
+    # Equal vectors have the same cells; each distinct one is searched once.
+    keyed = vectors.withColumn("_vector", F.md5(F.col(embedding).cast("string")))
+    distinct = keyed.groupBy("_vector").agg(F.first(embedding).alias("embedding"), F.count("*").alias("n"))
+    distinct = written(distinct, "distinct-vectors")
+    found = nearest(distinct.select("_vector", "embedding"), fine, coarse, ["_vector"], ["_fine"], nprobe)
+    cell = F.struct("rank", F.struct(F.col("_fine").alias("cell"), "score").alias("c"))
+    lists = found.groupBy("_vector").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["c"]).alias("_probe"))
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in vectors.columns])
+    return lookup_join(keyed, lists, "_vector", distinct, spread, "inner").drop("_vector")
+
+
 def assign_cells(vectors: DataFrame, centroids: DataFrame, embedding: str = "embedding") -> DataFrame:
     """Add the closest ``cell`` and its score; a tie goes to the lower cell."""
-    closest = _cells_udf(*centroid_matrix(centroids), nprobe=1)
-    best = F.element_at(closest(F.col(embedding)), 1)
-    return vectors.withColumn("_best", best).withColumns(
-        {"cell": F.col("_best.cell"), "cell_score": F.col("_best.score")}
-    ).drop("_best")
+    probed = _closest(vectors, centroids, 1, embedding)
+    best = F.element_at("_probe", 1)
+    return probed.withColumns({"cell": best["cell"], "cell_score": best["score"]}).drop("_probe")
 
 
 def cell_statistics(assigned: DataFrame) -> DataFrame:
@@ -108,11 +143,32 @@ def merged_statistics(parts: DataFrame) -> DataFrame:
 
 def probe_closest(queries: DataFrame, centroids: DataFrame, nprobe: int, embedding: str = "embedding") -> DataFrame:
     """One row per query and probed cell, for a fixed number of closest cells."""
-    closest = _cells_udf(*centroid_matrix(centroids), nprobe=nprobe)
-    probed = queries.withColumn("_probe", F.explode(closest(F.col(embedding))))
+    probed = _closest(queries, centroids, nprobe, embedding).withColumn("_probe", F.explode("_probe"))
     return probed.withColumn("cell", F.col("_probe.cell")).drop("_probe")
 
 
+def _holds(scores: np.ndarray, lowest: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Which balls (columns) can hold a score above the floor of each query (row).
+
+    ``lowest`` is the score of the member farthest from the centre. On unit vectors the angle
+    to a member is at least the angle to the centre less the widest angle within the ball.
+    A zero vector scores 0 everywhere.
+    """
+    angle = np.arccos(np.clip(scores, -1, 1))
+    bound = np.cos(np.maximum(angle - np.arccos(np.clip(lowest, -1, 1)) - _SLACK, 0.0))
+    return (bound > floors[:, None]) | (floors[:, None] <= 0)
+
+
+def _lowest(statistics: DataFrame) -> DataFrame:
+    """Statistics of what holds vectors, with ``lowest``, a bound below all members' scores.
+
+    Stored scores are rounded, so the true one may be half a step lower. Zero vectors alone
+    have no width.
+    """
+    lowest = F.when(F.col("min_score").isNull(), 1.0).otherwise(F.col("min_score") - 10.0**-SCORE_DIGITS)
+    return statistics.filter(F.col("min_score").isNotNull() | (F.col("n_vectors") > 0)).withColumn("lowest", lowest)
+
+
 def probe_reachable(
     queries: DataFrame,
     centroids: DataFrame,
@@ -120,32 +176,38 @@ def probe_reachable(
     floor: Column,
     embedding: str = "embedding",
 ) -> DataFrame:
-    """One row per query and each cell that can hold a score above ``floor``.
-
-    On unit vectors the angle to any member is at least the angle to the centre minus
-    the widest angle within the cell, which bounds the score. No hit is lost.
-    """
+    """One row per query and each cell that can hold a score above ``floor``. No hit is lost."""
+    if not few(centroids):
+        fine, coarse = _coarse(centroids)
+        balls = written(fine.join(_lowest(statistics).select(F.col("cell").alias("_fine"), "lowest"), "_fine"), "cell-balls")
+        # A coarse cell is as wide as the farthest edge of a cell in it.
+        edge = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cell_score") - 10.0**-SCORE_DIGITS)))
+        edge = edge + F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("lowest")))) + _SLACK
+        wide = balls.groupBy("cell").agg(
+            F.cos(F.least(F.max(edge), F.lit(float(np.pi)))).alias("min_score"), F.count("*").alias("n_vectors")
+        )
+        own = queries.drop("cell")
+        probed = probe_reachable(own.withColumn("_floor", floor.cast("double")), coarse, wide, F.col("_floor"), embedding)
+        heads = balls.withColumnRenamed("embedding", "centre")
+        return heads_reached(probed, heads, ["_fine"], embedding, "_floor").select(
+            *[F.col(f"`{c}`") for c in own.columns], F.col("_fine").alias("cell")
+        )
     cells, centres = centroid_matrix(centroids)
-    # One row per cell. Stored scores are rounded, so the true one may be half a step lower.
-    rows = statistics.filter(F.col("min_score").isNotNull() | (F.col("n_vectors") > 0)).collect()
-    lowest = {r["cell"]: 1.0 if r["min_score"] is None else r["min_score"] - 10.0**-SCORE_DIGITS for r in rows}
+    lowest = {r["cell"]: r["lowest"] for r in _lowest(statistics).select("cell", "lowest").collect()}  # a row per cell
     held = np.array([c in lowest for c in cells], bool)
     cells, centres = cells[held], centres[held]
-    widest = np.arccos(np.clip([lowest[c] for c in cells], -1, 1))
+    low = np.array([lowest[c] for c in cells])
 
     @arrow_udf("array<int>")
     def reachable(vectors: pa.Array, floors: pa.Array) -> pa.Array:
         if len(vectors) == 0 or len(cells) == 0:
             return pa.array([[]] * len(vectors), pa.list_(pa.int32()))
-        matrix, least = as_matrix(vectors), floors.to_numpy(zero_copy_only=False)[:, None]
+        matrix, least = as_matrix(vectors), floors.to_numpy(zero_copy_only=False)
         counts, cols = [], []
         tile = max(1, TILE_SCORES // len(cells))
         for at in range(0, len(matrix), tile):
             part = slice(at, at + tile)
-            angle = np.arccos(np.clip(matrix[part] @ centres.T, -1, 1))
-            bound = np.cos(np.maximum(angle - widest - _SLACK, 0.0))
-            # The bound holds for unit vectors; a zero vector scores 0 everywhere.
-            keep = (bound > least[part]) | (least[part] <= 0)
+            keep = _holds(matrix[part] @ centres.T, low, least[part])
             counts.append(keep.sum(axis=1))
             cols.append(np.nonzero(keep)[1])
         ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
@@ -155,6 +217,128 @@ def probe_reachable(
     return queries.withColumn("cell", F.explode(reachable(F.col(embedding), floor.cast("double"))))
 
 
+# ---- blocks ------------------------------------------------------------------
+
+
+def _grid(left: DataFrame, right: DataFrame, at: Sequence[str], deal: tuple[Column, Column], rows: tuple[int, int], sizes: DataFrame | None = None):
+    """Both sides grouped by ``at`` and by the place in a grid, ready for a product.
+
+    Rows of the right side are dealt to rows of the grid, those of the left to columns,
+    and each side is copied along the other axis. ``sizes`` has the right side's counts (n_vectors).
+    """
+    def cuts(counted: DataFrame, n: str, per: int, name: str) -> DataFrame:
+        return counted.select(*at, F.ceil(F.col(n) / per).cast("int").alias(name))
+
+    count = lambda side: side.groupBy(*at).agg(F.count("*").alias("_n"))
+    across = cuts(count(left), "_n", rows[0], "_cols")
+    down = cuts(count(right), "_n", rows[1], "_rows") if sizes is None else cuts(sizes, "n_vectors", rows[1], "_rows")
+    grid = written(down.join(across, list(at)), "grid")  # Spark knows its size
+    l = left.join(grid, list(at)).withColumn("_col", F.pmod(deal[0], F.col("_cols")).cast("int"))
+    l = l.withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1))).drop("_rows", "_cols")
+    r = right.join(grid, list(at)).withColumn("_row", F.pmod(deal[1], F.col("_rows")).cast("int"))
+    r = r.withColumn("_col", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1))).drop("_rows", "_cols")
+    place = [*at, "_row", "_col"]
+    return l.groupBy(*place).cogroup(r.groupBy(*place))
+
+
+def _typed(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def heads_reached(
+    probed: DataFrame, heads: DataFrame, names: Sequence[str], embedding: str = "embedding", floor: str = "floor",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Rows of ``probed`` (with ``cell``) once for each head of their cell that can hold a hit.
+
+    ``heads`` has cell, centre, lowest and ``names``, which are added to the rows.
+    """
+    columns = probed.columns
+
+    def product(queries: pa.Table, balls: pa.Table) -> pa.Table:
+        kinds = [queries.schema.field(c).type for c in columns] + [balls.schema.field(c).type for c in names]
+        if queries.num_rows == 0 or balls.num_rows == 0:
+            return pa.table([pa.array([], t) for t in kinds], [*columns, *names])
+        lowest, rows, cols = balls["lowest"].to_numpy(), [], []
+        matrix, centres, floors = as_matrix(queries[embedding]), as_matrix(balls["centre"]), queries[floor].to_numpy()
+        tile = max(1, TILE_SCORES // balls.num_rows)
+        for at in range(0, len(matrix), tile):
+            part = slice(at, at + tile)
+            row, col = np.nonzero(_holds(matrix[part] @ centres.T, lowest, floors[part]))
+            rows.append(row + at)
+            cols.append(col)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return pa.table([queries[c].take(rows) for c in columns] + [balls[c].take(cols) for c in names], [*columns, *names])
+
+    hashed = lambda cs: F.xxhash64(*[F.col(f"`{c}`") for c in cs])
+    balls = heads.select("cell", "centre", "lowest", *names)
+    pairs = _grid(probed, balls, ["cell"], (hashed(columns), hashed(names)), (block_rows, block_rows))
+    return pairs.applyInArrow(product, f"{_typed(probed, columns)}, {_typed(heads, names)}")
+
+
+BLOCK_KEYS = ("batch", "cell", "block")
+
+
+def cut_to_blocks(assigned: DataFrame, centroids: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Vectors with the ``block`` of their cell and their score to its centre, and the blocks' centres.
+
+    Rows of ``assigned`` (file_id, vec_id, embedding, cell, cell_score) drawn by their ids, one
+    in ``block_rows``, become the centres of further blocks; each vector goes to the closest, a tie to the
+    lowest block. Block 0 has the cell's own centre. More than ``BLOCK_ROWS`` centres in a
+    cell make its blocks larger.
+    """
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("_n"))
+    sizes = written(sizes.withColumn("_blocks", F.least(F.ceil(F.col("_n") / block_rows), F.lit(BLOCK_ROWS))), "cell-sizes")
+    many = assigned.join(sizes.filter("_blocks > 1"), "cell")
+    drawn = F.pmod(F.xxhash64("file_id", "vec_id"), F.col("_n")) < F.col("_blocks")
+    order = W.partitionBy("cell").orderBy("file_id", "vec_id")  # a row per block
+    pivots = many.filter(drawn & F.exists("embedding", lambda x: x != 0)).withColumn("block", F.row_number().over(order))
+    own = centroids.select("cell", F.lit(0).alias("block"), F.col("centroid").cast("array<float>").alias("centre"))
+    own = own.join(sizes, "cell", "left_semi")
+    centres = written(own.unionByName(pivots.select("cell", "block", F.col("embedding").alias("centre"))), "block-centres")
+    columns = assigned.columns
+
+    def closest(vectors: pa.Table, heads: pa.Table) -> pa.Table:
+        if vectors.num_rows == 0 or heads.num_rows == 0:
+            kinds = [vectors.schema.field(c).type for c in columns] + [pa.int32(), pa.float64()]
+            return pa.table([pa.array([], t) for t in kinds], [*columns, "block", "block_score"])
+        heads = heads.sort_by("block")
+        matrix, heads_matrix, best, score = as_matrix(vectors["embedding"]), as_matrix(heads["centre"]), [], []
+        tile = max(1, TILE_SCORES // heads.num_rows)
+        for at in range(0, len(matrix), tile):
+            scores = np.round(matrix[at : at + tile] @ heads_matrix.T, SCORE_DIGITS)
+            best.append(scores.argmax(axis=1))
+            score.append(np.take_along_axis(scores, best[-1][:, None], axis=1)[:, 0])
+        block = heads["block"].take(pa.array(np.concatenate(best)))
+        return pa.table([vectors[c] for c in columns] + [block, pa.array(np.concatenate(score))], [*columns, "block", "block_score"])
+
+    # All centres of a cell meet each part of its vectors, so the grid has one row.
+    deal = F.xxhash64("file_id", "vec_id"), F.lit(0)
+    pairs = _grid(many.select(*columns), centres, ["cell"], deal, (4 * BLOCK_ROWS, 2 * BLOCK_ROWS))
+    cut = pairs.applyInArrow(closest, f"{_typed(assigned, columns)}, block int, block_score double")
+    whole = assigned.join(sizes.filter("_blocks = 1"), "cell", "left_semi")
+    whole = whole.withColumns({"block": F.lit(0), "block_score": F.col("cell_score")})
+    return cut.unionByName(whole.select(cut.columns)), centres
+
+
+def block_heads(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """One row per block: cell, block, centre, n_vectors and the lowest score of a member."""
+    directed = F.when(F.exists("embedding", lambda x: x != 0), F.col("block_score"))
+    held = vectors.groupBy("cell", "block").agg(F.count("*").alias("n_vectors"), F.min(directed).alias("min_score"))
+    return held.join(centres, ["cell", "block"])
+
+
+def _visited(corpus: DataFrame, probed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``corpus`` that a query meets; few cells are named in a partition filter."""
+    cells = [r["cell"] for r in probed.select("cell").distinct().limit(MAX_LISTED_CELLS + 1).collect()]
+    if len(cells) <= MAX_LISTED_CELLS:
+        corpus = corpus.filter(F.col("cell").isin(cells))
+    if list(keys) == ["cell"]:
+        return corpus
+    blocks = written(probed.select(*keys).distinct(), "visited-blocks")  # Spark knows its size
+    return corpus.join(blocks, list(keys), "left_semi")
+
+
 def _block_product(query_ids: Sequence[str], corpus_ids: Sequence[str], k: int | None):
     """Scores of one block: pairs above the floor, at most the best k of each query."""
 
@@ -209,38 +393,34 @@ def block_pairs(
     k: int | None = None,
     block_rows: int = BLOCK_ROWS,
     count_by: str | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of queries and corpus vectors sharing a cell, by block products.
 
-    ``queries`` has ``cell`` and ``floor``: only scores above it count. A cell is cut to a
-    grid: its corpus rows to hashed rows of the grid, its queries to hashed columns, and
-    each side is copied along the other axis. All blocks stay near ``block_rows``.
+    ``queries`` has ``cell`` and ``floor``: only scores above it count. With ``blocks``, the
+    stored heads, queries meet only the blocks of their cells that can hold such a score.
+    What is still crowded is cut to a grid, so that all products stay near ``block_rows``.
     With ``count_by``, a corpus column, a block gives counts per query and its values.
     """
-    def cuts(side: DataFrame, name: str) -> DataFrame:
-        counted = side.groupBy("cell").agg(F.count("*").alias("_n"))
-        return counted.select("cell", F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
-
-    # One row per cell, so the grid is as small as the centroid table.
-    grid = F.broadcast(cuts(corpus, "_rows").join(cuts(queries, "_cols"), "cell"))
-    q = queries.select("cell", "floor", "embedding", *query_ids).join(grid, "cell")
-    q = q.withColumn("col", F.pmod(F.xxhash64(*query_ids), F.col("_cols")).cast("int"))
-    q = q.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
-    deal = F.xxhash64(*corpus_ids) if count_by is None else F.xxhash64("vec_id", *corpus_ids)
+    queries = queries.select("cell", "floor", "embedding", *query_ids)
+    keys = ["cell"] if blocks is None else list(BLOCK_KEYS)
+    sizes = None
+    if blocks is not None:
+        queries = heads_reached(queries, _lowest(blocks), ["batch", "block"], block_rows=block_rows)
+        sizes = blocks.select(*keys, "n_vectors")
+    queries = written(queries, "probes")
     own = corpus_ids if count_by is None else [*corpus_ids, "vec_id"]
-    c = corpus.select("cell", "embedding", *own).join(grid, "cell")
-    c = c.withColumn("row", F.pmod(deal, F.col("_rows")).cast("int"))
-    c = c.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)))
-    at = ["cell", "row", "col"]
-    left = q.select(*at, *[F.col(i).alias(f"q_{i}") for i in [*query_ids, "embedding", "floor"]])
-    right = c.select(*at, *[F.col(i).alias(f"c_{i}") for i in [*corpus_ids, "embedding"]])
-    fields = [f"`{i}` {queries.schema[i].dataType.simpleString()}" for i in query_ids]
-    fields += [f"`{i}` {corpus.schema[i].dataType.simpleString()}" for i in corpus_ids]
+    corpus = _visited(corpus, queries, keys).select(*keys, "embedding", *[c for c in own if c not in keys])
+    prefixed = lambda side, names, p: side.select(*keys, *[F.col(i).alias(f"{p}_{i}") for i in names])
+    left = prefixed(queries, [*query_ids, "embedding", "floor"], "q")
+    right = prefixed(corpus, [*own, "embedding"], "c")
+    deal = F.xxhash64(*[f"q_{c}" for c in query_ids]), F.xxhash64(*[f"c_{c}" for c in own])
     if count_by is None:
-        schema, product = ", ".join([*fields, "score double"]), _block_product(list(query_ids), list(corpus_ids), k)
+        schema, product = "score double", _block_product(list(query_ids), list(corpus_ids), k)
     else:
-        schema, product = ", ".join([*fields, "n bigint"]), _block_counts(list(query_ids), count_by)
-    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(product, schema)
+        schema, product = "n bigint", _block_counts(list(query_ids), count_by)
+    pairs = _grid(left, right, keys, deal, (block_rows, block_rows), sizes)
+    return pairs.applyInArrow(product, f"{_typed(queries, query_ids)}, {_typed(corpus, corpus_ids)}, {schema}")
 
 
 def best_k(pairs: DataFrame, query_ids: Sequence[str], corpus_ids: Sequence[str], k: int | None) -> DataFrame:
@@ -261,6 +441,7 @@ def above_threshold(
     statistics: DataFrame | None = None,
     nprobe: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs scoring above ``threshold``; with ``k``, the best k of each query.
 
@@ -273,7 +454,7 @@ def above_threshold(
         probed = probe_reachable(floored, centroids, stats, F.col("floor"))
     else:
         probed = probe_closest(floored, centroids, nprobe)
-    pairs = block_pairs(probed, corpus, query_ids, corpus_ids, k, block_rows)
+    pairs = block_pairs(probed, corpus, query_ids, corpus_ids, k, block_rows, blocks=blocks)
     return pairs if k is None else best_k(pairs, query_ids, corpus_ids, k)
 
 
@@ -286,12 +467,13 @@ def count_above_threshold(
     threshold: float,
     statistics: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs above ``threshold`` per query and corpus value (n); no pair becomes a row."""
     floored = queries.withColumn("floor", F.lit(float(threshold)))
     stats = cell_statistics(corpus) if statistics is None else statistics
     probed = probe_reachable(floored, centroids, stats, F.col("floor"))
-    return block_pairs(probed, corpus, query_ids, [count_by], None, block_rows, count_by)
+    return block_pairs(probed, corpus, query_ids, [count_by], None, block_rows, count_by, blocks)
 
 
 def nearest(
@@ -303,6 +485,8 @@ def nearest(
     k: int,
     nprobe: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    blocks: DataFrame | None = None,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest corpus vectors of each query, with no threshold.
 
@@ -312,7 +496,7 @@ def nearest(
     """
     open_floor = queries.withColumn("floor", F.lit(-2.0))
     first = probe_closest(open_floor, centroids, nprobe or 1)
-    found = best_k(block_pairs(first, corpus, query_ids, corpus_ids, k, block_rows), query_ids, corpus_ids, k)
+    found = best_k(block_pairs(first, corpus, query_ids, corpus_ids, k, block_rows, blocks=blocks), query_ids, corpus_ids, k)
     if nprobe is not None:
         return found
     found = written(found, "candidates")
@@ -320,8 +504,9 @@ def nearest(
     # A tie with the k-th score may win by id, so the floor is just below it.
     floor = F.coalesce(F.col("_kth") - 10.0**-SCORE_DIGITS / 2, F.lit(-2.0))
     rest = queries.join(kth, list(query_ids), "left").withColumn("floor", floor).drop("_kth")
-    probed = probe_reachable(rest, centroids, cell_statistics(corpus), F.col("floor"))
+    stats = cell_statistics(corpus) if statistics is None else statistics
+    probed = probe_reachable(rest, centroids, stats, F.col("floor"))
     own = probe_closest(rest.select(*query_ids, "embedding"), centroids, 1).select(*query_ids, "cell")
     others = probed.join(own, [*query_ids, "cell"], "left_anti")
-    more = block_pairs(others, corpus, query_ids, corpus_ids, k, block_rows)
+    more = block_pairs(others, corpus, query_ids, corpus_ids, k, block_rows, blocks=blocks)
     return best_k(found.drop("rank").unionByName(more), query_ids, corpus_ids, k)

@@ -1,10 +1,14 @@
-"""Word-piece tokens by joining distinct words with the vocabulary."""
+"""Word-piece tokens by looking words up in the vocabulary, or by joining distinct words with it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.unicode import basic_tokens
 from ..options import DEFAULTS, SPECIAL_TOKENS
@@ -12,6 +16,8 @@ from ..session import written
 from .skew import lookup_join
 
 UNKNOWN = "[UNK]"
+MAX_VOCABULARY_BYTES = 32 << 20
+REMEMBERED_WORDS = 1 << 18
 
 
 def words_of(
@@ -90,6 +96,88 @@ def attach_pieces(words: DataFrame, vocab: DataFrame, spread: Column) -> DataFra
     return lookup_join(words, word_pieces(counts, vocab), "word", counts, spread)
 
 
+# ---- vocabularies that every task can hold -----------------------------------------
+#
+# A vocabulary of bounded size goes to the tasks, which look words up batch by batch; then
+# no occurrence is moved. A larger one is joined: distinct words meet it, and their pieces are
+# joined back to the occurrences.
+
+
+def fits(vocab: DataFrame) -> bool:
+    """Whether the vocabulary can be handed to every task, by its measured size."""
+    size = vocab.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0
+    return size <= MAX_VOCABULARY_BYTES
+
+
+def _table(vocab: DataFrame, source: str, target: str) -> dict:
+    rows = vocab.select(source, target).toArrow()
+    return dict(zip(rows[source].to_pylist(), rows[target].to_pylist()))
+
+
+class Pieces:
+    """Greedy longest-match pieces of words; those of recent words are remembered."""
+
+    def __init__(self, ids: dict[str, int], max_chars: int):
+        self.ids, self.max_chars = ids, max_chars
+        self.longest = max((len(t.removeprefix("##")) for t in ids), default=0)
+        self.known: dict[str, list[str]] = {}
+
+    def split(self, word: str) -> list[str]:
+        pieces = self.known.get(word)
+        if pieces is None:
+            if len(self.known) >= REMEMBERED_WORDS:
+                self.known.clear()
+            pieces = self.known[word] = self._split(word)
+        return pieces
+
+    def _split(self, word: str) -> list[str]:
+        if len(word) > self.max_chars:
+            return [UNKNOWN]
+        pieces, start = [], 0
+        while start < len(word):
+            prefix = "##" if start else ""
+            for end in range(min(len(word), start + self.longest), start, -1):
+                piece = prefix + word[start:end]
+                if piece in self.ids:
+                    break
+            else:
+                return [UNKNOWN]
+            pieces.append(piece)
+            start = end
+        return pieces
+
+
+def _lists(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Values of a list column by distinct value, and where each row ends; a null is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return column.flatten().dictionary_encode("encode"), np.cumsum(sizes)
+
+
+def pieces_of(words: Column, vocab: DataFrame, max_chars: int = DEFAULTS.max_word_chars) -> Column:
+    """Pieces and ids (tokens, ids) of arrays of words, by a vocabulary that ``fits``."""
+    ids = _table(vocab.groupBy("token").agg(F.max("id").alias("id")), "token", "id")
+    pieces = Pieces(ids, max_chars)
+
+    @arrow_udf("struct<tokens:array<string>,ids:array<int>>")
+    def look_up(column: pa.Array) -> pa.Array:
+        values, ends = _lists(column)
+        split = [pieces.split(w) for w in values.dictionary.to_pylist()]
+        sizes = np.array([len(s) for s in split], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        at = values.indices.to_numpy()
+        counts = sizes[at]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        place = pa.array(np.repeat(first[at] - total[:-1], counts) + np.arange(total[-1]))
+        flat = [t for s in split for t in s]
+        offsets = pa.array(np.concatenate(([0], total[ends])).astype(np.int32))
+        return pa.StructArray.from_arrays([
+            pa.ListArray.from_arrays(offsets, pa.array(flat, pa.string()).take(place)),
+            pa.ListArray.from_arrays(offsets, pa.array([pieces.ids.get(t) for t in flat], pa.int32()).take(place)),
+        ], ["tokens", "ids"])
+
+    return look_up(words)
+
+
 def tokenize(
     texts: DataFrame,
     vocab: DataFrame,
@@ -97,7 +185,13 @@ def tokenize(
     text: str = "sentence",
     lower: bool = True,
 ) -> DataFrame:
-    """Word pieces of every text (keys, tokens, ids), empty for a text without words."""
+    """Word pieces of every text (keys, tokens, ids), empty for a text without words.
+
+    The keys name a text. No row is moved while the vocabulary ``fits``.
+    """
+    if fits(vocab):
+        found = texts.select(*keys, pieces_of(basic_tokens(F.col(text), lower), vocab).alias("_p"))
+        return found.select(*keys, "_p.tokens", "_p.ids")
     words = words_of(texts, keys, text, lower)
     joined = attach_pieces(words, vocab, F.struct(*keys, "tok"))
     found = F.filter(F.collect_list(F.struct("tok", "pieces", "ids")), lambda s: s["tok"].isNotNull())
@@ -109,7 +203,29 @@ def tokenize(
     )
 
 
-def _lookup(df: DataFrame, keys: Sequence[str], items: str, vocab: DataFrame, source: str, target: str, out: str) -> DataFrame:
+def _listed(items: Column, vocab: DataFrame, source: str, target: str) -> Column:
+    """Arrays looked up in a vocabulary that ``fits``; what it lacks is an error."""
+    known = _table(vocab, source, target)
+    kind = vocab.schema[target].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
+
+    @arrow_udf(f"array<{kind}>")
+    def look_up(column: pa.Array) -> pa.Array:
+        values, ends = _lists(column)
+        distinct = values.dictionary.to_pylist()
+        lost = [v for v in distinct if v not in known]
+        if lost:
+            raise ValueError(f"not in the vocabulary: {lost[0]}")
+        out = pa.array([known[v] for v in distinct], arrow).take(values.indices)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), out)
+
+    return look_up(items)
+
+
+def looked_up(df: DataFrame, vocab: DataFrame, keys: Sequence[str], items: str, source: str, target: str, out: str) -> DataFrame:
+    """``df`` with the array ``items`` looked up; the keys name a row. No row is moved if the vocabulary ``fits``."""
+    if fits(vocab):
+        return df.withColumn(out, _listed(F.col(items), vocab, source, target))
     flat = df.select(*keys, F.posexplode_outer(items).alias("_pos", source))
     found = flat.join(vocab.select(source, target), source, "left")
     unknown = F.col(source).isNotNull() & F.col(target).isNull()
@@ -118,17 +234,17 @@ def _lookup(df: DataFrame, keys: Sequence[str], items: str, vocab: DataFrame, so
     ordered = F.array_sort(
         F.filter(F.collect_list(F.struct("_pos", value.alias("_v"))), lambda s: s["_pos"].isNotNull())
     )
-    return found.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_v"]).alias(out))
+    return df.join(found.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_v"]).alias(out)), list(keys))
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, keys: Sequence[str], tokens: str = "tokens", out: str = "ids") -> DataFrame:
-    """Vocabulary ids of token arrays; an unknown token is an error."""
-    return _lookup(df, keys, tokens, vocab, "token", "id", out)
+    """Vocabulary ids of token arrays (keys, ids); an unknown token is an error."""
+    return looked_up(df, vocab, keys, tokens, "token", "id", out).select(*keys, out)
 
 
 def ids_to_tokens(df: DataFrame, vocab: DataFrame, keys: Sequence[str], ids: str = "ids", out: str = "tokens") -> DataFrame:
-    """Tokens of id arrays; an unknown id is an error."""
-    return _lookup(df, keys, ids, vocab, "id", "token", out)
+    """Tokens of id arrays (keys, tokens); an unknown id is an error."""
+    return looked_up(df, vocab, keys, ids, "id", "token", out).select(*keys, out)
 
 
 def is_special(token: Column) -> Column:

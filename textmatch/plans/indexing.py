@@ -55,7 +55,8 @@ def similarity(
     named = written(named.select("embedding", F.col("_name.doc_id").alias("named_doc"), F.col("_name.query_id").alias("named_query"), "n"), "vectors")
     name = ["named_doc", "named_query"]
     hits = N.above_threshold(
-        named, index.vectors, index.centroids, name, M.CORPUS_IDS, options.threshold, k, index.statistics, nprobe
+        named, index.vectors, index.centroids, name, M.CORPUS_IDS, options.threshold, k, index.statistics, nprobe,
+        blocks=index.blocks,
     )
     per_vector = hits.groupBy(*name, "file_id").agg(F.count("*").alias("_hits"))
     # A vector found in most documents is spread over several tasks.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import pretraining as P
 from ..operators.positions import shards
-from ..operators.tokens import tokenize, tokens_to_ids
+from ..operators.tokens import looked_up, tokenize
 from ..options import DEFAULTS, Options
 from ..session import written
 
@@ -30,11 +30,10 @@ def records(masked: DataFrame, vocab: DataFrame, n_shards: int, options: Options
     Tokens and labels go through the vocabulary in one lookup.
     """
     both = masked.withColumn("_all", F.concat("tokens", "masked_lm_labels"))
-    ids = tokens_to_ids(both, vocab, KEYS, "_all", "_ids")
     n = F.size("tokens")
-    with_ids = masked.join(ids, KEYS).withColumns(
+    with_ids = looked_up(both, vocab, KEYS, "_all", "token", "id", "_ids").withColumns(
         {"ids": F.slice("_ids", 1, n), "label_ids": F.slice("_ids", n + 1, F.size("masked_lm_labels"))}
-    )
+    ).drop("_all", "_ids")
     numbered = P.shuffled(with_ids, options.seed, KEYS)
     return P.padded_records(shards(numbered, n_shards), options)
 

@@ -191,7 +191,7 @@ def j1(spark, sf):
     index = demo_index(spark, sf)
     return N.above_threshold(
         query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, THRESHOLD,
-        statistics=index.statistics,
+        statistics=index.statistics, blocks=index.blocks,
     ).select(*PAIR_COLUMNS)
 
 
@@ -212,7 +212,7 @@ _RANKED = "SELECT doc_id, query_id, file_id, vec_id, score, CAST(rank AS INTEGER
 @query("j2_nearest_exact", f"WITH {SQL_SCORED}, {_NEAREST.format(source='scored')} {_RANKED.format(k=K)}")
 def j2(spark, sf):
     index = demo_index(spark, sf)
-    return N.nearest(query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, K)
+    return N.nearest(query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, K, blocks=index.blocks, statistics=index.statistics)
 
 
 NPROBE = 3
@@ -227,7 +227,7 @@ probed AS (SELECT q.file_id AS doc_id, q.vec_id AS query_id, c.file_id, c.vec_id
 def j3(spark, sf):
     index = demo_index(spark, sf)
     return N.nearest(
-        query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, K, nprobe=NPROBE
+        query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, K, nprobe=NPROBE, blocks=index.blocks
     )
 
 
@@ -275,7 +275,8 @@ def w3(spark, sf):
 def hits(spark, sf, k: int | None = K):
     index = demo_index(spark, sf)
     return N.above_threshold(
-        query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, THRESHOLD, k, index.statistics
+        query_vectors(spark, sf), index.vectors, index.centroids, M.QUERY_IDS, M.CORPUS_IDS, THRESHOLD, k, index.statistics,
+        blocks=index.blocks,
     )
 
 
@@ -324,7 +325,8 @@ def a4(spark, sf):
     rows, index = corpus_vectors(spark, sf), demo_index(spark, sf)
     queries = query_vectors(spark, sf)
     counted = N.count_above_threshold(
-        queries, index.vectors, index.centroids, M.QUERY_IDS, "file_id", THRESHOLD, index.statistics
+        queries, index.vectors, index.centroids, M.QUERY_IDS, "file_id", THRESHOLD, index.statistics,
+        blocks=index.blocks,
     )
     return M.exceed_percent(counted, M.vectors_per_document(queries), M.vectors_per_file(rows))
 

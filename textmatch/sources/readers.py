@@ -11,7 +11,7 @@ from ..functions.text import trimmed
 from ..operators.positions import document_numbers, hash_levels, running_total
 from ..operators.neighbours import merged_statistics
 from ..operators.records import RECORD_SCHEMA
-from .writers import STATISTICS_SCHEMA, VECTOR_SCHEMA
+from .writers import BLOCK_SCHEMA, STATISTICS_SCHEMA, VECTOR_SCHEMA
 
 
 def file_id(path: str = "file"):
@@ -74,19 +74,21 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """A stored corpus: vectors by cell, cell centres and cell statistics."""
+    """A stored corpus: vectors by cell, cell centres, cell statistics and the heads of blocks."""
 
     vectors: DataFrame
     centroids: DataFrame
     statistics: DataFrame
+    blocks: DataFrame
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open a stored index. Only the cells a query probes are read."""
+    """Open a stored index. A search reads the folders of the cells it probes."""
     return Index(
-        spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors").drop("batch"),
+        spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors"),
         spark.read.parquet(f"{path}/centroids"),
         merged_statistics(spark.read.schema(STATISTICS_SCHEMA).parquet(f"{path}/statistics")),
+        spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"),
     )
 
 

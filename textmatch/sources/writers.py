@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.neighbours import assign_cells, cell_statistics
+from ..operators.neighbours import BLOCK_ROWS, assign_cells, block_heads, cell_statistics, cut_to_blocks
 from ..operators.records import rounded_records
 from ..operators.sentences import clean_texts, not_done, sentences
 from ..options import DEFAULTS, Options
+from ..session import written
 
 ROWS_PER_FILE = 250_000
 # The last two are folders.
 VECTOR_SCHEMA = (
-    "file_id bigint, vec_id bigint, token string, embedding array<float>, cell_score double, batch string, cell int"
+    "file_id bigint, vec_id bigint, token string, embedding array<float>, cell_score double, block int, block_score double, "
+    "batch string, cell int"
 )
 
 STATISTICS_SCHEMA = "cell int, n_vectors bigint, min_score double, batch string"
+BLOCK_SCHEMA = "cell int, block int, n_vectors bigint, min_score double, centre array<float>, batch string"
 
 
 def write_embeddings(records: DataFrame, path: str) -> None:
@@ -47,28 +50,31 @@ def append_corpus(pieces: DataFrame, path: str) -> None:
     clean_texts(pieces).select(F.concat("text", F.lit("\n"))).write.mode("append").text(path)
 
 
-def write_index(vectors: DataFrame, centroids: DataFrame, path: str) -> None:
-    """Store vectors by cell, with the centres and the cell statistics."""
+def write_index(vectors: DataFrame, centroids: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> None:
+    """Store vectors by cell, with the centres, the cell statistics and the heads of blocks."""
     centroids.write.parquet(f"{path}/centroids")
-    write_vectors(vectors, centroids, path, "build")
+    write_vectors(vectors, centroids, path, "build", block_rows)
 
 
-def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: str) -> None:
-    """Assign vectors to cells and store them as one batch of the index, with its statistics.
+def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = BLOCK_ROWS) -> None:
+    """Assign vectors to cells and blocks and store them as one batch of the index, with its statistics.
 
-    A cell's rows go to as many hashed writers as its count asks for, so a crowded cell
-    becomes several files and a small one a single file. Writing a batch again replaces it.
+    A cell's rows go to as many writers as its count asks for, a block to one of them, so a
+    crowded cell becomes several files and a small one a single file, sorted by block.
+    Writing a batch again replaces it.
     """
-    assigned = assign_cells(vectors, centroids)
+    assigned = written(assign_cells(vectors, centroids), "assigned")
+    cut, centres = cut_to_blocks(assigned, centroids, block_rows)
     sizes = assigned.groupBy("cell").agg(F.ceil(F.count("*") / ROWS_PER_FILE).cast("int").alias("_files"))
-    sized = assigned.join(F.broadcast(sizes), "cell")  # one row per cell
-    spread = F.pmod(F.xxhash64("file_id", "vec_id"), F.col("_files")).cast("int")
-    rows = sized.withColumn("_file", spread).repartition("cell", "_file").drop("_files", "_file")
+    sized = cut.join(written(sizes, "file-numbers"), "cell")
+    spread = F.pmod(F.xxhash64("block"), F.col("_files")).cast("int")
+    rows = sized.withColumn("_file", spread).repartition("cell", "_file").sortWithinPartitions("cell", "block")
     stored = f"{path}/vectors/batch={batch}"
-    rows.write.mode("overwrite").partitionBy("cell").parquet(stored)
+    rows.drop("_files", "_file").write.mode("overwrite").partitionBy("cell").parquet(stored)
     spark = vectors.sparkSession
-    written = spark.read.schema(VECTOR_SCHEMA).option("basePath", f"{path}/vectors").parquet(stored)
-    cell_statistics(written).write.mode("overwrite").parquet(f"{path}/statistics/batch={batch}")
+    kept = spark.read.schema(VECTOR_SCHEMA).option("basePath", f"{path}/vectors").parquet(stored)
+    cell_statistics(kept).write.mode("overwrite").parquet(f"{path}/statistics/batch={batch}")
+    block_heads(kept, centres).write.mode("overwrite").parquet(f"{path}/blocks/batch={batch}")
 
 
 def write_records(records: DataFrame, path: str) -> None:
