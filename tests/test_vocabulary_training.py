@@ -95,7 +95,7 @@ def single_merges(counts, size):
 
 
 @pytest.mark.parametrize("seed, letters, longest, size", [
-    (1, "ab", 12, 400), (2, "aaab", 20, 400), (3, "abcde", 9, 400), (4, "abcdefgh", 7, 90), (5, "ab", 30, 60),
+    (2, "aaab", 20, 200), (4, "abcdefgh", 7, 90), (5, "ab", 30, 60),
 ])
 def test_rounds_give_the_result_of_single_merges(spark, seed, letters, longest, size):
     """Few letters: many ties, runs of one letter, and merges that give a token twice."""

@@ -289,12 +289,15 @@ def cut_to_blocks(assigned: DataFrame, centroids: DataFrame, block_rows: int = B
     """
     sizes = assigned.groupBy("cell").agg(F.count("*").alias("_n"))
     sizes = written(sizes.withColumn("_blocks", F.least(F.ceil(F.col("_n") / block_rows), F.lit(BLOCK_ROWS))), "cell-sizes")
+    own = centroids.select("cell", F.lit(0).alias("block"), F.col("centroid").cast("array<float>").alias("centre"))
+    own = own.join(sizes, "cell", "left_semi")
+    single = {"block": F.lit(0), "block_score": F.col("cell_score")}
+    if sizes.filter("_blocks > 1").isEmpty():
+        return assigned.withColumns(single), own
     many = assigned.join(sizes.filter("_blocks > 1"), "cell")
     drawn = F.pmod(F.xxhash64("file_id", "vec_id"), F.col("_n")) < F.col("_blocks")
     order = W.partitionBy("cell").orderBy("file_id", "vec_id")  # a row per block
     pivots = many.filter(drawn & F.exists("embedding", lambda x: x != 0)).withColumn("block", F.row_number().over(order))
-    own = centroids.select("cell", F.lit(0).alias("block"), F.col("centroid").cast("array<float>").alias("centre"))
-    own = own.join(sizes, "cell", "left_semi")
     centres = written(own.unionByName(pivots.select("cell", "block", F.col("embedding").alias("centre"))), "block-centres")
     columns = assigned.columns
 
@@ -317,8 +320,7 @@ def cut_to_blocks(assigned: DataFrame, centroids: DataFrame, block_rows: int = B
     pairs = _grid(many.select(*columns), centres, ["cell"], deal, (4 * BLOCK_ROWS, 2 * BLOCK_ROWS))
     cut = pairs.applyInArrow(closest, f"{_typed(assigned, columns)}, block int, block_score double")
     whole = assigned.join(sizes.filter("_blocks = 1"), "cell", "left_semi")
-    whole = whole.withColumns({"block": F.lit(0), "block_score": F.col("cell_score")})
-    return cut.unionByName(whole.select(cut.columns)), centres
+    return cut.unionByName(whole.withColumns(single).select(cut.columns)), centres
 
 
 def block_heads(vectors: DataFrame, centres: DataFrame) -> DataFrame:
@@ -403,11 +405,13 @@ def block_pairs(
     With ``count_by``, a corpus column, a block gives counts per query and its values.
     """
     queries = queries.select("cell", "floor", "embedding", *query_ids)
-    keys = ["cell"] if blocks is None else list(BLOCK_KEYS)
-    sizes = None
+    keys, sizes = ["cell"], None
     if blocks is not None:
-        queries = heads_reached(queries, _lowest(blocks), ["batch", "block"], block_rows=block_rows)
-        sizes = blocks.select(*keys, "n_vectors")
+        sizes = merged_statistics(blocks)
+        if not blocks.filter("block > 0").isEmpty():  # else a cell is a block, and is reached already
+            keys = list(BLOCK_KEYS)
+            queries = heads_reached(queries, _lowest(blocks), ["batch", "block"], block_rows=block_rows)
+            sizes = blocks.select(*keys, "n_vectors")
     queries = written(queries, "probes")
     own = corpus_ids if count_by is None else [*corpus_ids, "vec_id"]
     corpus = _visited(corpus, queries, keys).select(*keys, "embedding", *[c for c in own if c not in keys])

@@ -66,7 +66,7 @@ def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: st
     assigned = written(assign_cells(vectors, centroids), "assigned")
     cut, centres = cut_to_blocks(assigned, centroids, block_rows)
     sizes = assigned.groupBy("cell").agg(F.ceil(F.count("*") / ROWS_PER_FILE).cast("int").alias("_files"))
-    sized = cut.join(written(sizes, "file-numbers"), "cell")
+    sized = cut.join(sizes, "cell")
     spread = F.pmod(F.xxhash64("block"), F.col("_files")).cast("int")
     rows = sized.withColumn("_file", spread).repartition("cell", "_file").sortWithinPartitions("cell", "block")
     stored = f"{path}/vectors/batch={batch}"
