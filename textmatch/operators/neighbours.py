@@ -20,7 +20,9 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -54,8 +56,12 @@ def train_centroids(
         dims = vectors.select(F.size(embedding).alias("n")).limit(1).collect()
         return vectors.sparkSession.createDataFrame([(0, [0.0] * r["n"]) for r in dims], CENTROID_SCHEMA)
     clusters = clusters or max(1, round(n**0.5))
-    model = KMeans(k=clusters, distanceMeasure="cosine", seed=seed).fit(points)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(unit_rows(np.array(model.clusterCenters())))]
+    if clusters == 1:  # the mean direction
+        units = Normalizer(inputCol="features", outputCol="unit").transform(points)
+        centres = [units.agg(Summarizer.mean(F.col("unit"))).first()[0].toArray()]
+    else:
+        centres = KMeans(k=clusters, distanceMeasure="cosine", seed=seed).fit(points).clusterCenters()
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(unit_rows(np.array(centres)))]
     return vectors.sparkSession.createDataFrame(rows, CENTROID_SCHEMA)
 
 

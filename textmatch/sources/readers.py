@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -82,14 +83,40 @@ class Index:
     blocks: DataFrame
 
 
+def newest_manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the newest manifest; an index without one is whole as it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    versions = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
+    if not versions:
+        return 0, {"centroids": "centroids", "replaced": [], "split": []}
+    (row,) = spark.read.text(f"{path}/manifest/version-{max(versions)}", wholetext=True).collect()
+    return max(versions), json.loads(row["value"])
+
+
+def current(rows: DataFrame, manifest: dict) -> DataFrame:
+    """Rows (with batch and cell) that no later batch replaces; filters on folders alone."""
+    kept = ~F.col("batch").isin(manifest["replaced"])
+    for step in manifest["split"]:  # one per compaction
+        kept &= ~(F.col("cell").isin(step["cells"]) & F.col("batch").isin(step["batches"]))
+    return rows.filter(kept)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open a stored index. A search reads the folders of the cells it probes."""
-    return Index(
-        spark.read.schema(VECTOR_SCHEMA).parquet(f"{path}/vectors"),
-        spark.read.parquet(f"{path}/centroids"),
-        merged_statistics(spark.read.schema(STATISTICS_SCHEMA).parquet(f"{path}/statistics")),
-        spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"),
-    )
+    """Open a stored index as its newest manifest describes it. A search reads the folders of the cells it probes.
+
+    The centre of a cell that was split stays for writers that still know it; a reader
+    sees it only if such a writer has added vectors to it.
+    """
+    _, manifest = newest_manifest(spark, path)
+    read = lambda kind, schema: current(spark.read.schema(schema).parquet(f"{path}/{kind}"), manifest)
+    statistics = merged_statistics(read("statistics", STATISTICS_SCHEMA))
+    centroids = spark.read.parquet(f"{path}/{manifest['centroids']}")
+    if manifest["split"]:
+        held = statistics.select("cell", F.lit(True).alias("_held"))
+        centroids = centroids.join(held, "cell", "left").filter(~F.col("retired") | F.col("_held")).select("cell", "centroid")
+    return Index(read("vectors", VECTOR_SCHEMA), centroids, statistics, read("blocks", BLOCK_SCHEMA))
 
 
 def read_records(

@@ -57,13 +57,17 @@ def write_index(vectors: DataFrame, centroids: DataFrame, path: str, block_rows:
 
 
 def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = BLOCK_ROWS) -> None:
-    """Assign vectors to cells and blocks and store them as one batch of the index, with its statistics.
+    """Assign vectors to cells and blocks and store them as one batch of the index, with its statistics."""
+    store_vectors(written(assign_cells(vectors, centroids), "assigned"), centroids, path, batch, block_rows)
+
+
+def store_vectors(assigned: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = BLOCK_ROWS) -> None:
+    """Store vectors that know their cell (a written table) as one batch of the index.
 
     A cell's rows go to as many writers as its count asks for, a block to one of them, so a
     crowded cell becomes several files and a small one a single file, sorted by block.
     Writing a batch again replaces it.
     """
-    assigned = written(assign_cells(vectors, centroids), "assigned")
     cut, centres = cut_to_blocks(assigned, centroids, block_rows)
     sizes = assigned.groupBy("cell").agg(F.ceil(F.count("*") / ROWS_PER_FILE).cast("int").alias("_files"))
     sized = cut.join(sizes, "cell")
@@ -71,7 +75,7 @@ def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: st
     rows = sized.withColumn("_file", spread).repartition("cell", "_file").sortWithinPartitions("cell", "block")
     stored = f"{path}/vectors/batch={batch}"
     rows.drop("_files", "_file").write.mode("overwrite").partitionBy("cell").parquet(stored)
-    spark = vectors.sparkSession
+    spark = assigned.sparkSession
     kept = spark.read.schema(VECTOR_SCHEMA).option("basePath", f"{path}/vectors").parquet(stored)
     cell_statistics(kept).write.mode("overwrite").parquet(f"{path}/statistics/batch={batch}")
     block_heads(kept, centres).write.mode("overwrite").parquet(f"{path}/blocks/batch={batch}")
