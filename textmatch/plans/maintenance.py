@@ -6,11 +6,11 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.neighbours import BLOCK_ROWS, assign_cells, train_centroids
+from ..operators.neighbours import assign_cells, train_centroids
 from ..options import DEFAULTS
 from ..session import written
 from ..sources.readers import Index, newest_manifest, read_index
-from ..sources.writers import store_vectors
+from ..sources.writers import ROWS_PER_FILE, store_vectors
 
 OVERFULL = 4.0  # times the average cell
 LARGE = 0.5  # share of all vectors from which on a batch stays as it is
@@ -37,7 +37,7 @@ def split_cells(index: Index, first_id: int, overfull: float = OVERFULL, seed: i
 
 
 def compact_index(
-    spark: SparkSession, path: str, overfull: float = OVERFULL, seed: int = DEFAULTS.seed, block_rows: int = BLOCK_ROWS,
+    spark: SparkSession, path: str, overfull: float = OVERFULL, seed: int = DEFAULTS.seed, block_rows: int = ROWS_PER_FILE,
 ) -> Index:
     """Merge the small batches of an index to one and split its overfull cells; the same vectors stay.
 

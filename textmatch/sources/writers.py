@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.neighbours import BLOCK_ROWS, assign_cells, block_heads, cell_statistics, cut_to_blocks
+from ..operators.neighbours import assign_cells, block_heads, cell_statistics, cut_to_blocks
 from ..operators.records import rounded_records
 from ..operators.sentences import clean_texts, not_done, sentences
 from ..options import DEFAULTS, Options
 from ..session import written
 
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 250_000  # of a file, and of a block of near vectors
 # The last two are folders.
 VECTOR_SCHEMA = (
     "file_id bigint, vec_id bigint, token string, embedding array<float>, cell_score double, block int, block_score double, "
@@ -50,18 +50,18 @@ def append_corpus(pieces: DataFrame, path: str) -> None:
     clean_texts(pieces).select(F.concat("text", F.lit("\n"))).write.mode("append").text(path)
 
 
-def write_index(vectors: DataFrame, centroids: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> None:
+def write_index(vectors: DataFrame, centroids: DataFrame, path: str, block_rows: int = ROWS_PER_FILE) -> None:
     """Store vectors by cell, with the centres, the cell statistics and the heads of blocks."""
     centroids.write.parquet(f"{path}/centroids")
     write_vectors(vectors, centroids, path, "build", block_rows)
 
 
-def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = BLOCK_ROWS) -> None:
+def write_vectors(vectors: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = ROWS_PER_FILE) -> None:
     """Assign vectors to cells and blocks and store them as one batch of the index, with its statistics."""
     store_vectors(written(assign_cells(vectors, centroids), "assigned"), centroids, path, batch, block_rows)
 
 
-def store_vectors(assigned: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = BLOCK_ROWS) -> None:
+def store_vectors(assigned: DataFrame, centroids: DataFrame, path: str, batch: str, block_rows: int = ROWS_PER_FILE) -> None:
     """Store vectors that know their cell (a written table) as one batch of the index.
 
     A cell's rows go to as many writers as its count asks for, a block to one of them, so a
