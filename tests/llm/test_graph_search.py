@@ -56,6 +56,31 @@ def test_recall(spark, spread):
     assert hit >= 0.95 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("factor", [1e-24, 1e19, None])
+def test_any_finite_size(spark, factor):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    if factor is None:  # sizes side by side
+        x *= np.where(np.arange(600) % 3 == 0, 1e-24, np.where(np.arange(600) % 3 == 1, 1.0, 1e19))[:, None]
+        x[::100] = rng.normal(size=(6, 16)) * np.array([1e-24, 1.0, 1e19] * 2)[:, None]
+    else:
+        x *= factor
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    want, got = plain(rows, 10), run(spark, rows, shard=300)
+    assert {q: len(r) for q, r in got.items()} == {q: 10 for q in want}
+    if factor is None:  # among far larger vectors all the small ones tie; the nearest distances agree
+        assert all(np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], rtol=1e-6, atol=0) for q in (100, 200, 400, 500))
+    else:
+        hit = sum(len({v for _, v in want[q]} & {v for _, v in got[q]}) for q in want)
+        assert hit >= 0.95 * 10 * len(want)
+
+
+def test_distances_beyond_squares():
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0]])
+    assert np.allclose(gs.distances(x, np.zeros(2)), [5e200, 5e-200, 5.0, 0.0], rtol=1e-15, atol=0)
+    assert gs.scale(x) == (np.float64, 2.0 ** -(int(np.frexp(4e200)[1]) - 400)) and gs.scale(x[2:3])[0] is np.float32
+
+
 def test_pruning_keeps_diverse_neighbours():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1], [-3, 0]], dtype=np.float32)
     got = gs.robust_prune(x, np.array([0]), np.array([[4, 2, 1, 3, 0, 1]]), 4, 1.2)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,6 +90,34 @@ def test_reading():
     assert text_of("<script>never closed") == "" and text_of("") == "" and text_of(None) == ""
 
 
+def test_broken_reading():
+    assert text_of('a <b "c> d') == 'a <b "c> d' and text_of("x <! y <? z") == "x <! y <? z"
+    assert text_of("<p>a</i></i></p></b>b<em>c</div>d") == "a bcd"
+    assert text_of("<p><td><b>x<hr>y</td>z") == "x y z" and text_of("<ul><li>a<p>b<li>c</ul>d") == "a b c d"
+    assert text_of("<i 'a\"'>b</i \"'>\">c") == "bc" and text_of("<a '\"<b \"'>c") == "c"
+
+
+@pytest.mark.parametrize("made", [
+    lambda n: '<a "' * n, lambda n: "<div>" * n + "</p></x>" * n, lambda n: "<a<b " * n, lambda n: "<!<?" * n,
+    lambda n: "<p><td>" + "<b>" * n + "<hr>" * n, lambda n: "<i \"'" * n + ">", lambda n: "<i id='x" * n + '">',
+])
+def test_time_grows_with_length(made):
+    def seconds(n):
+        begin = time.process_time()
+        ht.read(made(n))
+        return time.process_time() - begin
+
+    assert min(seconds(40_000) for _ in range(3)) < 3 * min(seconds(20_000) for _ in range(3)) + 0.2
+
+
+def test_a_repeated_id_gives_the_sample_one_row(spark):
+    rows = [(1, page(random.Random(i), i)[0]) for i in range(40)] + [(2, page(random.Random(50), 50)[0])]
+    table = spark.createDataFrame(rows, "page_id long, html string")
+    once = spark.createDataFrame([(1, min(h for i, h in rows if i == 1)), rows[-1]], "page_id long, html string")
+    one, two = ht.learn(table), ht.learn(once)
+    assert all(np.array_equal(a, b) for a, b in zip(one, two))
+
+
 def test_tables(spark):
     draw = random.Random(5)
     rows = [(i, f"u{i}", page(draw, i)[0]) for i in range(60)]

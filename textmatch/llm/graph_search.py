@@ -9,16 +9,17 @@ pruned alike. Graphs are stored as one row per shard.
 
 Queries go out in blocks. Each pair of a shard and a block of queries is one group of
 work: a beam search in the shard's graph, then the exact distance, in double precision on
-the original vectors, for everything in the beam. The best ``k`` per query over all
+the original vectors, for everything in the beam. Graphs and beams use single precision
+where all squares fit it, else double. The best ``k`` per query over all
 shards follow from a window that keeps ``k`` rows of each task before the shuffle.
 
 All rows are indexed; nothing is fitted on a sample. Recall is measured in the tests.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows without an id; vectors meet only those of their own length; rows
-that agree in id and vector count once; where an id has several vectors, the smallest is
-the query and the id's other vectors are no candidates for it. An empty table gives an
-empty result. Other columns are ignored.
+that agree in id and vector count once; vectors of any finite size take part; where an
+id has several vectors, the smallest is the query and the id's other vectors are no
+candidates for it. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +38,43 @@ BEAM = 96  # while building
 SEARCH_BEAM = 128
 ALPHA = 1.2
 BATCH = 512
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1024  # queries that share one copy of a shard's graph
 SEED = 42
 _WIDTH = 4  # nodes expanded per step
+_SAFE = 1e12  # components within this factor of 1 have squares in the range of single precision
+_STEP = 256  # queries searched at a time
 
 
 # ---- one graph -------------------------------------------------------------------
 
 
+def scale(*parts: np.ndarray) -> tuple[type, float]:
+    """(precision, factor) in which squared distances of all these vectors are in range.
+
+    Single precision where the largest component of every vector is near 1; else double,
+    multiplied by a power of two that keeps sums of squares of the largest finite.
+    """
+    tops = np.concatenate([np.abs(p).max(1, initial=0.0) for p in parts])
+    if not len(tops) or (tops.max() <= _SAFE and tops.min() >= 1 / _SAFE):
+        return np.float32, 1.0
+    return np.float64, 2.0 ** -max(0, int(np.frexp(tops.max())[1]) - 400)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the vectors ``x`` to ``q``, also where squares leave double precision."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = x - q
+        square = (diff**2).sum(1)
+        plain = np.sqrt(square)
+        odd = (square > 1e300) | (square < 1e-280)
+        if odd.any():  # take the largest component out before squaring
+            diff = diff[odd]
+            top = np.abs(diff).max(1)
+            unit = diff / np.where(top > 0, top, 1.0)[:, None]
+            plain[odd] = top * np.sqrt((unit**2).sum(1))
+    return plain
+
+
 def _distances(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Squared distances of each query to its own list of nodes; infinite for -1."""
     diff = x[np.maximum(ids, 0)] - q[:, None, :]
@@ -146,7 +176,7 @@ def build(
     x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = SEED,
     min_in: int = MIN_IN, extra: int = EXTRA,
 ) -> tuple[np.ndarray, int]:
-    """(neighbours of each node, entry node) for vectors in single precision."""
+    """(neighbours of each node, entry node) for vectors in the precision of ``scale``."""
     n = len(x)
     rng = np.random.default_rng(seed)
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -220,7 +250,8 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame,
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(first=group["ids"].str[0]).sort_values("first", kind="stable")
         vectors = np.stack(group["embedding"].to_numpy())
-        edges, entry = build(vectors.astype(np.float32))
+        kind, factor = scale(vectors)
+        edges, entry = build((vectors * factor).astype(kind))
         ids = np.concatenate(group["ids"].to_numpy()).astype(np.int64)
         cuts = np.concatenate(([0], np.cumsum(group["ids"].str.len()))).astype(np.int64)
         row = (key[0], key[1], len(vectors), entry, vectors.tobytes(), edges.tobytes(), ids.tobytes(), cuts.tobytes())
@@ -248,10 +279,13 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int
             ids, cuts = np.frombuffer(g.ids, dtype=np.int64), np.frombuffer(g.cuts, dtype=np.int64)
             names = [q["id"] for q in g.queries]
             q = np.array([q["v"] for q in g.queries])
-            found, _ = beam_search(x.astype(np.float32), edges, g.entry, q.astype(np.float32), max(beam, 2 * k))
+            kind, factor = scale(x, q)
+            scaled, asked = (x * factor).astype(kind), (q * factor).astype(kind)
+            parts = [beam_search(scaled, edges, g.entry, asked[a : a + _STEP], max(beam, 2 * k))[0] for a in range(0, len(q), _STEP)]
+            found = np.concatenate(parts)
             for i, name in enumerate(names):
                 near = found[i][found[i] >= 0]
-                score = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                score = distances(x[near], q[i])
                 best = sorted(
                     (s, int(v)) for s, p in zip(score.tolist(), near) for v in ids[cuts[p] : cuts[p + 1]] if v != name
                 )[:k]

@@ -18,8 +18,10 @@ attribute words in ``BOILERPLATE``.
 
 Defined results: a null or empty page gives an empty text; text outside any element
 belongs to the root. Open elements end with their parent, stray end tags are skipped,
-scripts, styles and comments are never text. Repeated rows get equal texts. Other columns
-pass through.
+scripts, styles and comments are never text; a tag that is never closed is text. Very long,
+broken or deep pages are read whole, in time that grows with their length. An element whose
+odds are even is kept. Repeated rows get equal texts, and a repeated page_id gives the
+sample one row. An empty table trains nothing and gives no rows. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ BOILERPLATE = frozenset(
 )
 _BOILER_TAGS = frozenset("nav footer aside form header".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TOKEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/<>\"']*))")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z0-9]+")
 _BLANKS = re.compile(r"\s+")
@@ -85,55 +88,104 @@ class Page(NamedTuple):
     breaks: list[int]  # texts before each block edge
 
 
+class _Ends:
+    """Where tags end: the next ``>`` outside quotes, each stretch of the page searched once."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.begin, self.mark = 0, -1  # the first mark at or after ``begin``
+        self.after: dict[int, int] = {}  # opening quote -> the tag's end, -1 if there is none
+
+    def _next(self, at: int) -> int:
+        if not self.begin <= at <= self.mark:
+            found = _MARK.search(self.page, at)
+            self.begin, self.mark = at, found.start() if found else len(self.page)
+        return self.mark
+
+    def find(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``, -1 if it is never closed."""
+        page, passed = self.page, []
+        while True:
+            mark = self._next(at)
+            if mark == len(page):
+                end = -1
+                break
+            if page[mark] == ">":
+                end = mark
+                break
+            if mark in self.after:
+                end = self.after[mark]
+                break
+            passed.append(mark)
+            close = page.find(page[mark], mark + 1)
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        self.after.update(dict.fromkeys(passed, end))
+        return end
+
+
 def read(page: str | None) -> Page:
-    """Read a page; element 0 is a root that HTML does not name."""
+    """Read a page in time that grows with its length; element 0 is a root that HTML does not name."""
     tags, parents, words = ["root"], [-1], [[]]
     texts: list[tuple[int, str]] = []
     breaks: list[int] = []
     stack = [0]
+    places: dict[str, list[int]] = {}  # depths of the open elements by name
     page = page or ""
+    ends = _Ends(page)
     at, size = 0, len(page)
+    last = page.rfind(">")
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            if tags[stack.pop()] not in _INLINE:
+            name = tags[stack.pop()]
+            places[name].pop()
+            if name not in _INLINE:
                 breaks.append(len(texts))
 
     def opened(names, stop) -> int | None:
-        for depth in range(len(stack) - 1, 0, -1):
-            name = tags[stack[depth]]
-            if name in names:
-                return depth
-            if name in stop:
-                return None
-        return None
+        top = lambda some: max((places[n][-1] for n in some if places.get(n)), default=0)
+        depth = top(names)
+        return depth if depth and depth > top(stop) else None
 
+    begin = 0  # of the text not yet stored
     while at < size:
         match = _TOKEN.search(page, at)
-        start = match.start() if match else size
-        if start > at:
-            texts.append((stack[-1], page[at:start]))
         if not match:
             break
-        at = match.end()
-        name = match.group(2)
+        start, name = match.start(), match.group(2)
+        if name is not None:
+            end = ends.find(match.end()) if start < last else -1
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = size if end < 0 else end + 2
+        else:
+            end = page.find(">", match.end()) if start < last else -1
+        if end < 0:  # never closed: its sign is text
+            at = match.end()
+            continue
+        if start > begin:
+            texts.append((stack[-1], page[begin:start]))
+        at = begin = end + 1
         if name is None:
             continue
         name = name.lower()
         if match.group(1):
-            depth = opened({name}, ())
+            depth = opened((name,), ())
             if depth is not None:
                 close(depth)
             elif name in ("p", "br"):
                 breaks.append(len(texts))
             continue
-        if name in _ENDS_P and (depth := opened({"p"}, _SCOPE)) is not None:
+        if name in _ENDS_P and (depth := opened(("p",), _SCOPE)) is not None:
             close(depth)
         if name in _CLOSES and (depth := opened(_CLOSES[name], ("ul", "ol", "dl", "table", "select"))) is not None:
             close(depth)
         if name not in _INLINE:
             breaks.append(len(texts))
-        rest = match.group(3)
+        rest = page[match.end() : end]
         found = []
         if rest and "=" in rest:
             for m in _ATTRIBUTE.finditer(rest):
@@ -145,12 +197,15 @@ def read(page: str | None) -> Page:
         if name in _VOID or rest.endswith("/") and name not in _SCOPE and name != "p":
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            texts.append((number, page[at : end.start() if end else size]))
+            close_tag = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            texts.append((number, page[at : close_tag.start() if close_tag else size]))
             breaks.append(len(texts))
-            at = end.end() if end else size
+            at = begin = close_tag.end() if close_tag else size
             continue
+        places.setdefault(name, []).append(len(stack))
         stack.append(number)
+    if begin < size:
+        texts.append((stack[-1], page[begin:]))
     return Page(tags, parents, words, texts, breaks)
 
 
@@ -392,9 +447,10 @@ def varied(page: str, draw: random.Random) -> str:
 
 def learn(pages: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Trees:
     """Train on at most ``sample`` pages of ``pages`` (page_id, html); the driver gets features only."""
-    chosen = pages.select("page_id").withColumn("_order", digest(seed, "page_id")).orderBy("_order", "page_id").limit(sample)
+    chosen = pages.select("page_id").distinct().withColumn("_order", digest(seed, "page_id")).orderBy("_order", "page_id").limit(sample)
     chosen = F.broadcast(chosen.select(F.col("page_id").alias("_id")).distinct())  # at most ``sample`` rows
     texts = pages.select("page_id", "html").join(chosen, F.col("page_id") == F.col("_id"))
+    texts = texts.groupBy("page_id").agg(F.min("html").alias("html"))  # an id may have any number of rows
 
     def run(batches):
         for batch in batches:
