@@ -164,7 +164,7 @@ def embed(
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=[[length]] * 3,
-    )
+    ).asNondeterministic()  # no filter is pushed below the model, which would run it twice
     flat = inputs.withColumn("_flat", predict("input_ids", "input_mask", "input_type_ids"))
     n = len(wanted)
     dim = (F.size("_flat") / (n * length)).cast("int")

@@ -28,7 +28,10 @@ def unnest(records: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
     unique within a file and needs no global numbering. A number that does not fit its
     part of the id is an error.
     """
-    tokens = records.select(*keys, "linex_index", F.posexplode("features").alias("tok", "feature"))
+    # The outer form keeps Spark from testing the size of ``features`` first: that test would be
+    # pushed below whatever made them, with all its expressions written out once more.
+    tokens = records.select(*keys, "linex_index", F.posexplode_outer("features").alias("tok", "feature"))
+    tokens = tokens.filter(F.col("tok").isNotNull())
     layers = tokens.select(
         *keys, "linex_index", "tok", "feature.token", F.posexplode("feature.layers").alias("lay", "layer")
     )
