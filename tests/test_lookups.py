@@ -71,3 +71,26 @@ def test_ascii_texts_take_the_short_way(spark):
         spaced = strip_accents(F.lower(spaced)) if lower else spaced
         chain = word_array(space_punctuation(spaced))
         assert df.filter(~basic_tokens(F.col("t"), lower).eqNullSafe(chain)).count() == 0
+
+
+def test_a_filter_on_pieces_does_not_find_them_twice(spark):
+    toks = K.tokenize(texts(spark), vocabulary(spark, PIECES))
+    for rows in (toks.filter(F.size("ids") > 0), toks.select("doc_id", F.explode("tokens"))):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("items", [1, 5, 64])
+def test_a_batch_is_looked_up_by_parts(spark, monkeypatch, items):
+    import pyarrow as pa
+
+    monkeypatch.setattr(K, "PART_ITEMS", items)
+    draw, sizes = random.Random(items), []
+    rows = [None if draw.random() < 0.2 else ["x"] * draw.choice((0, 1, 2, 9)) for _ in range(80)]
+
+    def look_up(part):
+        sizes.append(sum(len(r or ()) for r in part.to_pylist()))
+        return pa.array([len(r or ()) for r in part.to_pylist()])
+
+    column = pa.array([["y"], *rows], pa.list_(pa.string())).slice(1)
+    assert K._in_parts(column, look_up).to_pylist() == [len(r or ()) for r in rows]
+    assert max(sizes) < items + 9 and len(K._in_parts(column.slice(0, 0), look_up)) == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from .skew import lookup_join
 
 UNKNOWN = "[UNK]"
 MAX_VOCABULARY_BYTES = 32 << 20
-REMEMBERED_WORDS = 1 << 18
+REMEMBERED_WORDS = 1 << 16
+PART_ITEMS = 1 << 16  # words of a batch that a task looks up at once
 
 
 def words_of(
@@ -153,13 +154,24 @@ def _lists(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return column.flatten().dictionary_encode("encode"), np.cumsum(sizes)
 
 
+def _in_parts(column: pa.Array, look_up: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``look_up`` of a list column by parts of about ``PART_ITEMS`` items; a longer row is a part."""
+    if len(column) == 0:
+        return look_up(column)
+    before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()[:-1], dtype=np.int64)))
+    starts = np.flatnonzero(np.diff(before // PART_ITEMS, prepend=-1))
+    return pa.concat_arrays([look_up(column.slice(at, to - at)) for at, to in zip(starts, [*starts[1:], len(column)])])
+
+
 def pieces_of(words: Column, vocab: DataFrame, max_chars: int = DEFAULTS.max_word_chars) -> Column:
-    """Pieces and ids (tokens, ids) of arrays of words, by a vocabulary that ``fits``."""
+    """Pieces and ids (tokens, ids) of arrays of words, by a vocabulary that ``fits``.
+
+    Called non-deterministic, so that no filter on the pieces is pushed below, which would find them twice.
+    """
     ids = _table(vocab.groupBy("token").agg(F.max("id").alias("id")), "token", "id")
     pieces = Pieces(ids, max_chars)
 
-    @arrow_udf("struct<tokens:array<string>,ids:array<int>>")
-    def look_up(column: pa.Array) -> pa.Array:
+    def part(column: pa.Array) -> pa.Array:
         values, ends = _lists(column)
         split = [pieces.split(w) for w in values.dictionary.to_pylist()]
         sizes = np.array([len(s) for s in split], dtype=np.int64)
@@ -175,7 +187,11 @@ def pieces_of(words: Column, vocab: DataFrame, max_chars: int = DEFAULTS.max_wor
             pa.ListArray.from_arrays(offsets, pa.array([pieces.ids.get(t) for t in flat], pa.int32()).take(place)),
         ], ["tokens", "ids"])
 
-    return look_up(words)
+    @arrow_udf("struct<tokens:array<string>,ids:array<int>>")
+    def look_up(column: pa.Array) -> pa.Array:
+        return _in_parts(column, part)
+
+    return look_up.asNondeterministic()(words)
 
 
 def tokenize(
@@ -209,8 +225,7 @@ def listed(items: Column, vocab: DataFrame, source: str, target: str) -> Column:
     kind = vocab.schema[target].dataType.simpleString()
     arrow = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
 
-    @arrow_udf(f"array<{kind}>")
-    def look_up(column: pa.Array) -> pa.Array:
+    def part(column: pa.Array) -> pa.Array:
         values, ends = _lists(column)
         distinct = values.dictionary.to_pylist()
         lost = [v for v in distinct if v not in known]
@@ -219,6 +234,10 @@ def listed(items: Column, vocab: DataFrame, source: str, target: str) -> Column:
         out = pa.array([known[v] for v in distinct], arrow).take(values.indices)
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), out)
 
+    @arrow_udf(f"array<{kind}>")
+    def look_up(column: pa.Array) -> pa.Array:
+        return _in_parts(column, part)
+
     return look_up(items)
 
 
