@@ -28,8 +28,20 @@ def words_of(
     return texts.select(*keys, F.posexplode_outer(basic_tokens(F.col(text), lower)).alias("tok", "word"))
 
 
-def word_counts(words: DataFrame, word: str = "word") -> DataFrame:
-    return words.filter(F.col(word).isNotNull()).groupBy(word).agg(F.count("*").alias("n"))
+def part_counts(texts: DataFrame, text: str) -> DataFrame:
+    """Distinct parts of all texts between blanks (part, n).
+
+    No word spans a blank and none depends on what lies behind one, so the words of the parts, taken
+    ``n`` times, are those of the texts; a part is split to words once, however often it comes.
+    """
+    parts = texts.select(F.explode(F.split(F.col(text), " ", -1)).alias("part"))
+    return parts.filter(F.col("part") != "").groupBy("part").agg(F.count("*").alias("n"))
+
+
+def word_counts(words: DataFrame, word: str = "word", weight: str | None = None) -> DataFrame:
+    """Occurrences of each word (word, n); with ``weight``, a row stands for so many."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return words.filter(F.col(word).isNotNull()).groupBy(word).agg(n.alias("n"))
 
 
 def vocabulary_matches(words: DataFrame, vocab: DataFrame, max_chars: int = DEFAULTS.max_word_chars) -> DataFrame:
@@ -56,6 +68,8 @@ def word_pieces(words: DataFrame, vocab: DataFrame, max_chars: int = DEFAULTS.ma
     Walks over the matches in order of their start: a match that begins where the
     last taken one ended is taken. A word that is not covered becomes ``[UNK]``.
     """
+    # Dealt by word once, so that neither a word's matches nor its pieces are moved.
+    words = words.select("word").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     matches = vocabulary_matches(words, vocab, max_chars)
     ordered = F.array_sort(F.collect_list(F.struct("start", "len", "id")))
     none = F.array()

@@ -105,11 +105,11 @@ vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY kind, place, token) - 1
 
 def demo_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same vocabulary from the documents table (token, id)."""
-    from ..operators.tokens import words_of
+    from ..operators.tokens import part_counts, words_of
     from ..operators.vocabulary import number_tokens
     from ..session import written
 
-    words = words_of(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    words = words_of(part_counts(table(spark, sf_dir, "documents"), "text"), [], "part")
     words = words.filter(F.col("word").isNotNull()).select("word").distinct()
     short = F.when(F.length("word") <= MAX_SHORT, F.array("word")).otherwise(F.array().cast("array<string>"))
     pieces = words.select(F.explode(F.concat(F.split("word", ""), short)).alias("p")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import pad
 from ..operators import encoding as E, pretraining as P, records as R, tokens as K, vocabulary as V
 from ..plans.model import hashed_token_model
+from ..session import written
 from .common import (
     SQL_VOCAB, demo_vocabulary, query, sql_occurrences, sql_pieces, sql_tokens, sql_words, table,
 )
@@ -22,8 +23,14 @@ def turn_tokens(spark, sf):
     return K.tokenize(table(spark, sf, "conversations"), demo_vocabulary(spark, sf), TURN_KEYS, "text")
 
 
-def doc_words(spark, sf):
-    return K.words_of(table(spark, sf, "documents"), ["doc_id"], "text")
+def doc_word_counts(spark, sf):
+    parts = K.part_counts(table(spark, sf, "documents"), "text")
+    return K.word_counts(K.words_of(parts, ["n"], "part"), weight="n")
+
+
+def stored_word_counts(spark, sf):
+    """The same for queries that read them more than once."""
+    return written(doc_word_counts(spark, sf), "counts")
 
 
 _DOC_WORDS = sql_occurrences("documents", "doc_id", "text", "occ")
@@ -34,12 +41,12 @@ _COUNTS = f"{_DOC_WORDS}, counts AS (SELECT word, count(*) AS n FROM occ GROUP B
        "SELECT m.word, CAST(m.s AS INTEGER) AS start, CAST(m.l AS INTEGER) AS len, v.id FROM pieces_match m "
        "JOIN vocab v ON v.token = CASE WHEN m.s > 1 THEN '##' ELSE '' END || substring(m.word, m.s, m.l)")
 def j9(spark, sf):
-    return K.vocabulary_matches(K.word_counts(doc_words(spark, sf)), demo_vocabulary(spark, sf))
+    return K.vocabulary_matches(doc_word_counts(spark, sf), demo_vocabulary(spark, sf))
 
 
 @query("t11_word_pieces", f"WITH RECURSIVE {SQL_VOCAB}, {_DOC_WORDS}, {sql_pieces('occ')} SELECT word, array_to_string(pieces, ' ') AS pieces FROM pieces")
 def t11(spark, sf):
-    pieces = K.word_pieces(K.word_counts(doc_words(spark, sf)), demo_vocabulary(spark, sf))
+    pieces = K.word_pieces(stored_word_counts(spark, sf), demo_vocabulary(spark, sf))
     return pieces.select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
@@ -225,7 +232,7 @@ def r5(spark, sf):
 
 @query("a14_word_counts", f"WITH {_COUNTS} SELECT * FROM counts")
 def a14_counts(spark, sf):
-    return K.word_counts(doc_words(spark, sf))
+    return doc_word_counts(spark, sf)
 
 
 _LETTERS = f"""{_COUNTS}, chars AS (SELECT word, n, unnest(string_split(word, '')) AS ch, generate_subscripts(string_split(word, ''), 1) AS i FROM counts),
@@ -234,7 +241,7 @@ alphabet AS (SELECT ch, CAST(sum(n) AS BIGINT) AS n FROM chars GROUP BY ch ORDER
 
 @query("a14_alphabet", f'WITH {_LETTERS} SELECT ch AS "char", n FROM alphabet')
 def a14_alphabet(spark, sf):
-    return V.alphabet(K.word_counts(doc_words(spark, sf)))
+    return V.alphabet(doc_word_counts(spark, sf))
 
 
 _PAIRS = f"""{_LETTERS}, kept AS (SELECT c.word, c.n, c.ch, row_number() OVER (PARTITION BY c.word ORDER BY c.i) AS i FROM chars c JOIN alphabet USING (ch)),
@@ -244,7 +251,7 @@ nexts AS (SELECT s AS "left", lead(s) OVER (PARTITION BY word ORDER BY i) AS "ri
 
 @query("a14_first_pairs", f'WITH {_PAIRS} SELECT "left", "right", CAST(sum(n) AS BIGINT) AS n FROM nexts WHERE "right" IS NOT NULL GROUP BY ALL')
 def a14_pairs(spark, sf):
-    symbols, tokens = V.first_symbols(K.word_counts(doc_words(spark, sf)))
+    symbols, tokens = V.first_symbols(stored_word_counts(spark, sf))
     rows = [(V.symbol(i), t) for i, t in enumerate(tokens)]
     names = spark.createDataFrame(rows, "symbol string, token string")
     pairs = V.pair_counts(symbols).select(
@@ -257,9 +264,7 @@ def a14_pairs(spark, sf):
 
 @query("a14_train_vocabulary")
 def a14_train(spark, sf):
-    from ..session import written
-
-    return V.train_vocabulary(written(K.word_counts(doc_words(spark, sf)), "counts"))
+    return V.train_vocabulary(stored_word_counts(spark, sf))
 
 
 @query("r1_flatten", f"WITH lists AS (SELECT doc_id, [{sql_words('text')}, [lang, source]] AS l FROM documents) SELECT doc_id, CAST(len(flatten(l)) AS INTEGER) AS n, md5(array_to_string(flatten(l), ' ')) AS out FROM lists")
