@@ -119,3 +119,22 @@ def test_counts_follow_from_changes(spark):
     changed = V._totals(V._pair_changes(ids, None).unionByName(V._pair_changes(ids, rounds)), "pairs")
     whole = V._totals(V._pair_changes(V._merged(ids, rounds), None), "pairs")
     assert sorted(map(tuple, changed.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_no_merge_beyond_the_room():
+    """Tokens behind the last place are not made, and pairs too rare for it are not asked for."""
+    state = V.Merges(list("abcdef"), 1)
+    chosen, undone = state.choose([(0, 1, 9), (2, 3, 8), (4, 5, 7)])
+    assert (list(chosen), undone) == ([(0, 1)], False)
+    assert state.least() == 9
+
+
+def test_whole_counts_reach_the_driver(spark):
+    """A count that is cut waits; one that alone is too long is cut by the symbols' age."""
+    state = V.Merges(list("abcd"), 9)
+    rows = [(0 << 32 | 1, 5), (1 << 32 | 0, 7), (2 << 32 | 1, 5), (0 << 32 | 2, 5), (3 << 32 | 3, 1)]
+    pairs = spark.createDataFrame(rows, "pair long, n long")
+    assert V._top(pairs, state, 9) == [(1, 0, 7), (0, 1, 5), (0, 2, 5), (2, 1, 5), (3, 3, 1)]
+    assert V._top(pairs, state, 3) == [(1, 0, 7)]
+    assert V._top(pairs.filter("n = 5"), state, 2) == [(0, 1, 5), (0, 2, 5)]
+    assert V._top(pairs.filter("n > 9"), state, 2) == []

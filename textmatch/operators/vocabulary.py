@@ -119,6 +119,22 @@ class Merges:
         """New tokens that are older than ``key``."""
         return bisect_left(self.ages, key, key=self.keys.__getitem__) - self.first
 
+    def least(self) -> int:
+        """Pairs with a lower count come after the last token that there is room for."""
+        if len(self.ages) < self.first + self.room:
+            return 0
+        era, n, *_ = self.keys[self.ages[self.first + self.room - 1]]
+        return -n if era == self.era else 0
+
+    def ordered(self, pairs: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+        """Pairs (left, right, n) in rank order: most frequent first, then the oldest symbols."""
+        rank = np.zeros(len(self.tokens), dtype=np.int64)
+        rank[self.ages] = np.arange(len(self.ages))
+        left, right = pairs >> 32, pairs & 0xFFFFFFFF
+        a, b = rank[left], rank[right]
+        order = np.lexsort((b, a, np.maximum(a, b), -n))
+        return list(zip(left[order].tolist(), right[order].tolist(), n[order].tolist()))
+
     def safe(self, top: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Pairs (left, right, n) of a list in rank order that no pair before can change.
 
@@ -161,7 +177,7 @@ class Merges:
             return {}, True
         out = {}
         for key, joined, left, right in chosen:
-            if self.barrier is None or key < self.barrier:
+            if (self.barrier is None or key < self.barrier) and self.before(key) < self.room:
                 symbol = len(self.tokens)
                 self.tokens.append(joined)
                 self.keys.append(key)
@@ -191,21 +207,32 @@ def _codes(ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merge_rounds(ids: np.ndarray, word: np.ndarray, rounds: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (symbols end to end, and the word of each) after all rounds; which words changed."""
     changed = np.zeros(int(word[-1]) + 1 if len(word) else 0, dtype=bool)
+    known = 1 + max((int(max(p[-1] >> 32, (p & 0xFFFFFFFF).max(), s.max())) for p, s in rounds if len(p)), default=0)
+    known = max(known, int(ids.max()) + 1 if len(ids) else 0)
     for pairs, symbols in rounds:
         if len(ids) < 2:
             break
-        codes = (ids[:-1] << 32) | ids[1:]
+        # Few symbols begin or end a pair of the round; only these are looked up.
+        begins, ends = np.zeros(known, dtype=bool), np.zeros(known, dtype=bool)
+        begins[pairs >> 32], ends[pairs & 0xFFFFFFFF] = True, True
+        hit = np.flatnonzero(begins[ids[:-1]] & ends[ids[1:]])
+        hit = hit[word[hit + 1] == word[hit]]
+        codes = (ids[hit] << 32) | ids[hit + 1]
         at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-        hit = np.flatnonzero((pairs[at] == codes) & (word[1:] == word[:-1]))
+        found = pairs[at] == codes
+        hit, at = hit[found], at[found]
         if not len(hit):
             continue
         # Pairs of one round overlap only in a run of one symbol, which is cut from its left.
         run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) > 1, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+        first = (np.arange(len(hit)) - run) % 2 == 0
+        hit, at = hit[first], at[first]
         ids = ids.copy()
-        ids[hit] = symbols[at[hit]]
+        ids[hit] = symbols[at]
         changed[word[hit]] = True
-        ids, word = np.delete(ids, hit + 1), np.delete(word, hit + 1)
+        kept = np.ones(len(ids), dtype=bool)
+        kept[hit + 1] = False
+        ids, word = ids[kept], word[kept]
     return ids, word, changed
 
 
@@ -323,15 +350,7 @@ def train_vocabulary(counts: DataFrame, options: Options = DEFAULTS, batch: int
     rounds: list[tuple[np.ndarray, np.ndarray]] = []
     while state.room > 0:
         now = pairs if not rounds else pairs.unionByName(_pair_changes(words, rounds)).groupBy("pair").agg(F.sum("n").alias("n"))
-        ranks = F.broadcast(spark.createDataFrame(state.ranks()))  # a row per token
-        left, right = (ranks.select(F.col("symbol").alias(s), F.col("rank").alias(f"{s}_rank")) for s in ("left", "right"))
-        ranked = (
-            now.filter(F.col("n") >= options.min_frequency)
-            .select(F.shiftright("pair", 32).cast("int").alias("left"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("right"), "n")
-            .join(left, "left").join(right, "right")
-            .orderBy(F.desc("n"), F.greatest("left_rank", "right_rank"), "left_rank", "right_rank").limit(batch)
-        )
-        top = list(zip(*(c.to_pylist() for c in ranked.select("left", "right", "n").toArrow().columns)))
+        top = _top(now.filter(F.col("n") >= max(options.min_frequency, state.least())), state, batch)
         chosen, undone = state.choose(top)
         if undone:
             words, rounds = written(_replayed(start, state.order()), "words"), []
@@ -350,6 +369,28 @@ def train_vocabulary(counts: DataFrame, options: Options = DEFAULTS, batch: int
     return spark.createDataFrame(list(zip(made, range(len(made)))), "token string, id int")
 
 
+def _top(pairs: DataFrame, state: Merges, batch: int) -> list[tuple[int, int, int]]:
+    """At most ``batch`` pairs (left, right, n) in rank order; no pair left out comes before one of them.
+
+    Whole counts are taken, so that the driver can order ties. Only if one count alone has
+    more pairs do their symbols' ranks meet the pairs.
+    """
+    found = pairs.orderBy(F.desc("n")).limit(batch).toArrow()
+    codes, n = found["pair"].to_numpy(), found["n"].to_numpy()
+    if len(n) < batch:
+        return state.ordered(codes, n)
+    whole = n > n.min()
+    if whole.any():
+        return state.ordered(codes[whole], n[whole])
+    ranks = F.broadcast(pairs.sparkSession.createDataFrame(state.ranks()))  # a row per token
+    left, right = (ranks.select(F.col("symbol").alias(s), F.col("rank").alias(f"{s}_rank")) for s in ("left", "right"))
+    halves = F.shiftright("pair", 32).cast("int").alias("left"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("right")
+    ranked = pairs.select(*halves, "n").join(left, "left").join(right, "right").orderBy(
+        F.desc("n"), F.greatest("left_rank", "right_rank"), "left_rank", "right_rank"
+    )
+    return list(zip(*(c.to_pylist() for c in ranked.select("left", "right", "n").limit(batch).toArrow().columns)))
+
+
 def _totals(changes: DataFrame, name: str) -> DataFrame:
     """Pair counts, written; pairs that are gone are left out."""
     return written(changes.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0"), name)
