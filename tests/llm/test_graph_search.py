@@ -92,3 +92,12 @@ def test_few_rows_and_none(spark):
     assert run(spark, [(100, [1.0, 2.0])]) == {}
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert gs.nearest(empty, empty).count() == 0
+
+
+def test_queries_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i), 1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    graphs, shards = gs.build_index(rows, 3, shard=50)
+    found = gs.search(graphs, shards, rows.filter("vec_id % 100 = 0"), 3)
+    # One copy of all queries for every shard: collected for a broadcast, they outgrow the driver.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 12

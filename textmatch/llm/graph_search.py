@@ -7,10 +7,11 @@ greedy beam search proposes neighbours, and relaxed pruning keeps a candidate on
 neighbour kept before is closer to it by the factor ``ALPHA``; reverse edges are added and
 pruned alike. Graphs are stored as one row per shard.
 
-Queries go out in blocks. Each pair of a shard and a block of queries is one group of
+Queries go out in blocks to the shards. Each pair of a shard and a block of queries is one group of
 work: a beam search in the shard's graph, then the exact distance, in double precision on
 the original vectors, for everything in the beam. Graphs and beams use single precision
-where all squares fit it, else double. The best ``k`` per query over all
+where all squares fit it, else double. Seen from a far larger vector all small ones tie and would fill its
+beam, so a shard has a graph for each band of sizes, and all are searched. The best ``k`` per query over all
 shards follow from a window that keeps ``k`` rows of each task before the shuffle.
 
 All rows are indexed; nothing is fitted on a sample. Recall is measured in the tests.
@@ -43,6 +44,7 @@ SEED = 42
 _WIDTH = 4  # nodes expanded per step
 _SAFE = 1e12  # components within this factor of 1 have squares in the range of single precision
 _STEP = 256  # queries searched at a time
+BAND = 40  # vectors whose largest components differ by more than so many powers of two may get graphs of their own
 
 
 # ---- one graph -------------------------------------------------------------------
@@ -239,11 +241,12 @@ _GRAPH = "dim int, shard int, n int, entry int, vectors binary, edges binary, id
 
 
 def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """(one row per shard's graph, number of shards) of ``rows`` (vec_id, embedding)."""
+    """(one row per graph, number of shards) of ``rows`` (vec_id, embedding)."""
     points = written(nodes(rows, k + 1), "vector-nodes")
     shards = max(1, -(-points.count() // shard))
+    top = F.array_max(F.transform("embedding", lambda c: F.abs(c.cast("double"))))
     dealt = points.select(
-        F.size("embedding").alias("dim"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"),
+        F.size("embedding").alias("dim"), F.floor((F.log2(top) + BAND / 2) / BAND).cast("int").alias("band"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"),
         F.transform("embedding", lambda c: c.cast("double")).alias("embedding"), "ids",
     )
 
@@ -254,10 +257,12 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame,
         edges, entry = build((vectors * factor).astype(kind))
         ids = np.concatenate(group["ids"].to_numpy()).astype(np.int64)
         cuts = np.concatenate(([0], np.cumsum(group["ids"].str.len()))).astype(np.int64)
-        row = (key[0], key[1], len(vectors), entry, vectors.tobytes(), edges.tobytes(), ids.tobytes(), cuts.tobytes())
+        row = (key[0], key[2], len(vectors), entry, vectors.tobytes(), edges.tobytes(), ids.tobytes(), cuts.tobytes())
         return pd.DataFrame([row], columns=["dim", "shard", "n", "entry", "vectors", "edges", "ids", "cuts"])
 
-    return written(dealt.groupBy("dim", "shard").applyInPandas(run, _GRAPH), "graphs"), shards
+    # A task builds few graphs: they are few bytes and much work, so sizes would put many into one.
+    dealt = dealt.repartition(shards, "dim", "shard")
+    return written(dealt.groupBy("dim", "band", "shard").applyInPandas(run, _GRAPH), "graphs"), shards
 
 
 def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -269,7 +274,9 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int
         F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
         F.struct(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("v")).alias("q"),
     ).groupBy("dim", "block").agg(F.collect_list("q").alias("queries"))
-    work = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["dim", "shard"])
+    # Every shard gets all queries: copies that Spark does not foresee, and would collect to broadcast them.
+    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).hint("merge")
+    work = asked.join(graphs.repartition(shards, "dim", "shard"), ["dim", "shard"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
