@@ -4,8 +4,10 @@ import random
 from dataclasses import replace
 from hashlib import md5
 
+import numpy as np
 import pytest
 
+from textmatch.functions.draws import digests
 from textmatch.operators import pretraining as P, tokens as K
 from textmatch.options import DEFAULTS
 
@@ -101,3 +103,25 @@ def test_nothing_and_null_lists(spark):
     for d in (2, 3):
         assert got[d].tokens == rows[d - 1][3] and got[d].words == [] and got[d].masked_lm_positions == got[d].masked_lm_labels == []
     assert P.picked_positions(df.limit(0)).collect() == []
+
+
+def test_digests_of_short_and_long_keys():
+    for extra in ("", "x" * 60):  # one block, and more than one
+        keys = [f"|{i}|{10**i}{extra}".encode() for i in range(12)] + ["|ü|9".encode(), b""]
+        row, place = np.repeat(np.arange(14), 130), np.tile(np.arange(130), 14)
+        got = digests(42, "mask", keys, row, place).tolist()
+        want = [md5(b"42|mask" + keys[r] + b"|%d" % p).hexdigest() for r, p in zip(row, place)]
+        assert ["%016x%016x" % (a, b) for a, b in got] == want
+
+
+def test_stored_segments_are_the_numbered_ones(spark):
+    rows = [(1, 3, ["a", "##b"]), (1, 1, []), (1, 0, ["", "x y"]), (None, 2, ["c"]), (2, 5, [""]), (2, 5, ["d"] * 9)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, seg_no int, tokens array<string>")
+    stored, plain = P.stored_segments(tokens), P.numbered_segments(tokens)
+    same = lambda df: sorted(map(str, df.select("doc_id", "seg_no", "tokens").collect()))
+    assert len(same(stored)) == 5 and {r.len for r in stored.filter("doc_id = 1").collect()} == {2}
+    assert same(stored.filter("doc_id = 1 OR doc_id IS NULL")) == same(plain.filter("doc_id = 1 OR doc_id IS NULL"))
+    lengths = P.document_lengths(stored)
+    assert "split" not in lengths._jdf.queryExecution().optimizedPlan().toString()  # no token is read for them
+    assert {r.doc_id: sorted(r.lens) for r in lengths.collect()} == {1: [2, 2], None: [1], 2: [1, 9]}
+    assert sorted(map(str, P.pages(stored, 3).filter("doc_id = 1").collect())) == sorted(map(str, P.pages(plain, 3).filter("doc_id = 1").collect()))

@@ -21,6 +21,7 @@ from ..functions.draws import digest, digests, integer, row_keys, uniform, unifo
 from ..functions.text import trimmed
 from ..functions.vectors import pad
 from ..options import DEFAULTS, Options
+from ..session import written
 from .encoding import framed, kept_lengths, type_ids
 from .positions import position_by_digest, position_by_id
 from .tokens import fits, item_parts, places_of
@@ -53,17 +54,29 @@ def unpacked(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit(" ")), F.from_json(text, "array<string>")).otherwise(F.split(text, " ", -1))
 
 
+def _numbered(tokens: DataFrame) -> DataFrame:
+    kept = tokens.filter(F.size("tokens") > 0).select(
+        "doc_id", "seg_no", packed(F.col("tokens")).alias("packed"), F.size("tokens").alias("len")
+    )
+    order = W.partitionBy("doc_id").orderBy("seg_no")
+    return kept.withColumn("seg_no", (F.row_number().over(order) - 1).cast("int"))
+
+
 def numbered_segments(tokens: DataFrame) -> DataFrame:
     """Drop segments without tokens and number the others (doc_id, seg_no, tokens)."""
-    kept = tokens.filter(F.size("tokens") > 0).withColumn("tokens", packed(F.col("tokens")))
-    order = W.partitionBy("doc_id").orderBy("seg_no")
-    numbered = kept.withColumn("seg_no", (F.row_number().over(order) - 1).cast("int"))
-    return numbered.withColumn("tokens", unpacked(F.col("tokens")))
+    return _numbered(tokens).select("doc_id", "seg_no", unpacked(F.col("packed")).alias("tokens"))
+
+
+def stored_segments(tokens: DataFrame) -> DataFrame:
+    """:func:`numbered_segments`, written. Their lengths and packed texts can be read without the tokens."""
+    stored = written(_numbered(tokens), "segments")
+    return stored.withColumn("tokens", unpacked(F.col("packed")))
 
 
 def document_lengths(segs: DataFrame) -> DataFrame:
     """Segment lengths of each document as one array; 4 bytes per segment."""
-    ordered = F.array_sort(F.collect_list(F.struct("seg_no", F.size("tokens").alias("len"))))
+    n = F.col("len") if "len" in segs.columns else F.size("tokens")
+    ordered = F.array_sort(F.collect_list(F.struct("seg_no", n.alias("len"))))
     return segs.groupBy("doc_id").agg(F.transform(ordered, lambda s: s["len"]).alias("lens"))
 
 
@@ -165,7 +178,8 @@ def pages(segs: DataFrame, reach: int) -> DataFrame:
     first = F.greatest(F.lit(0), F.ceil((F.col("seg_no") - reach + 2) / PAGE) - 1)
     page = F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("page")
     ordered = F.array_sort(F.collect_list(F.struct("seg_no", "tokens")))
-    copied = segs.select("doc_id", "seg_no", packed(F.col("tokens")).alias("tokens"), page)
+    text = F.col("packed") if "packed" in segs.columns else packed(F.col("tokens"))
+    copied = segs.select("doc_id", "seg_no", text.alias("tokens"), page)
     return copied.groupBy("doc_id", "page").agg(F.transform(ordered, lambda s: s["tokens"]).alias("segs"))
 
 

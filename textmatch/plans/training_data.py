@@ -20,7 +20,7 @@ def instances(segs: DataFrame, vocab: DataFrame, options: Options = DEFAULTS, st
     for it. ``stored`` segments are a written table that is numbered already.
     """
     # The segments feed the plan and both halves of the pairs, the instances their masks.
-    segs = segs if stored else written(P.numbered_segments(segs), "segments")
+    segs = segs if stored else P.stored_segments(segs)
     ranked = written(P.ranked_documents(P.document_lengths(segs), options.seed), "documents")
     plan = written(P.plan_chunks(ranked, options), "plan")
     plan = written(P.shuffled(plan, options.seed, KEYS), "numbered-plan")

@@ -97,15 +97,15 @@ lengths AS (SELECT doc_id, list(len(tokens) ORDER BY seg_no) AS lens, count(*) A
 ranks AS (SELECT doc_id, lens, n_segs, row_number() OVER (ORDER BY """ + h("'order'", "doc_id") + """, doc_id) - 1 AS rank FROM lengths)"""
 
 
-def segs(spark, sf):
+def line_pieces(spark, sf):
     docs = table(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("seg_no", "line"))
-    words = F.filter(F.split("line", " ", -1), lambda w: w != "")
-    pieces = F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(w) - 1) / 5).cast("int")),
-        lambda k: F.concat(F.when(k > 0, "##").otherwise(""), F.substring(w, k * 5 + 1, F.lit(5))),
-    ))
-    return P.numbered_segments(lines.select("doc_id", "seg_no", F.flatten(pieces).alias("tokens")))
+    pieces = F.split(F.regexp_replace("line", "([^ ]{5})(?=[^ ])", "$1 ##"), " ", -1)
+    return lines.select("doc_id", "seg_no", F.array_remove(pieces, "").alias("tokens"))
+
+
+def segs(spark, sf):
+    return P.numbered_segments(line_pieces(spark, sf))
 
 
 def ranked(spark, sf):
@@ -185,7 +185,7 @@ pairs AS (SELECT p.round, p.doc_id, p.start, p.is_random_next, a.a, coalesce(r.b
 
 
 def plan_tables(spark, sf):
-    tokens = written(segs(spark, sf), "segments")
+    tokens = P.stored_segments(line_pieces(spark, sf))
     documents = written(P.ranked_documents(P.document_lengths(tokens), SEED), "documents")
     return tokens, documents, written(P.plan_chunks(documents, OPTIONS), "plan")
 
@@ -333,7 +333,7 @@ masked AS (SELECT f.round, f.doc_id, f.start, list(coalesce(c.new, f.token) ORDE
 
 
 def masked(spark, sf):
-    tokens = written(segs(spark, sf), "segments")
+    tokens = P.stored_segments(line_pieces(spark, sf))
     vocab = word_vocabulary(spark, tokens)
     return training_data.instances(tokens, vocab, OPTIONS, stored=True), vocab
 
