@@ -44,6 +44,7 @@ SEED = 42
 _WIDTH = 4  # nodes expanded per step
 _SAFE = 1e12  # components within this factor of 1 have squares in the range of single precision
 _STEP = 256  # queries searched at a time
+SPREAD = 4  # partitions for each shard, so that few of them get several
 BAND = 40  # vectors whose largest components differ by more than so many powers of two may get graphs of their own
 
 
@@ -261,7 +262,7 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame,
         return pd.DataFrame([row], columns=["dim", "shard", "n", "entry", "vectors", "edges", "ids", "cuts"])
 
     # A task builds few graphs: they are few bytes and much work, so sizes would put many into one.
-    dealt = dealt.repartition(shards, "dim", "shard")
+    dealt = dealt.repartition(SPREAD * shards, "dim", "shard")
     return written(dealt.groupBy("dim", "band", "shard").applyInPandas(run, _GRAPH), "graphs"), shards
 
 
@@ -276,7 +277,7 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int
     ).groupBy("dim", "block").agg(F.collect_list("q").alias("queries"))
     # Every shard gets all queries: copies that Spark does not foresee, and would collect to broadcast them.
     asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).hint("merge")
-    work = asked.join(graphs.repartition(shards, "dim", "shard"), ["dim", "shard"])
+    work = asked.join(graphs.repartition(SPREAD * shards, "dim", "shard"), ["dim", "shard"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
